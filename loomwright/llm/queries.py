@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
+from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.token_ids import encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,12 +18,42 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _web_languages(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
+    pages = _table(spark, folder, "web_docs")
+    model = fit_language_model(_table(spark, folder, "lang_samples"), pages)
+    return detect_languages(pages, model, keep=("page_id", *keep))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mislabelled(_web_languages(spark, folder, "__language"))
+
+
+def p6_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Each stretch of one language of each page, with its confidence."""
+    detected = _web_languages(spark, folder)
+    return detected.select("page_id", F.explode("segments").alias("s")).select("page_id", "s.*").distinct()
+
+
+def _web_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(_table(spark, folder, "web_docs"), _table(spark, folder, "given_names"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _web_pii(spark, folder).select("page_id", "pii_type", "pii_text").distinct()
+
+
+def p7_masked(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its items replaced by placeholders of their types."""
+    pages = _table(spark, folder, "web_docs").select("page_id", "content").dropDuplicates(["page_id"])
+    return mask_pii(pages, _web_pii(spark, folder)).select("page_id", "masked")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"p8_ids": p8_ids}
+    return {f.__name__: f for f in (p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

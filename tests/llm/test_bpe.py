@@ -5,25 +5,23 @@ import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm.bpe import RankQueue
+from loomwright.llm.bpe import RankQueue, load_ranks
 from loomwright.llm.token_ids import encode_corpus, with_token_counts
 from loomwright.llm.tokenizer import DEFAULT_FOLDER, PATTERN, encoder
-from loomwright.llm.bpe import load_ranks
 
 
 @pytest.fixture(scope="module")
 def public():
-    ranks = load_ranks(f"{DEFAULT_FOLDER}/byte_bpe_50k.tiktoken")
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _PUBLIC
 
 
-@settings(max_examples=300, deadline=None)
+_PUBLIC = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=load_ranks(f"{DEFAULT_FOLDER}/byte_bpe_50k.tiktoken"), special_tokens={})
+
+
+@settings(max_examples=200, deadline=None)
 @given(st.text(max_size=200))
 def test_any_text_encodes_like_the_public_library(text):
-    ranks = load_ranks(f"{DEFAULT_FOLDER}/byte_bpe_50k.tiktoken")
-    global _ENC
-    _ENC = globals().get("_ENC") or tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert encoder().encode(text) == _ENC.encode_ordinary(text)
+    assert encoder().encode(text) == _PUBLIC.encode_ordinary(text)
 
 
 def test_long_and_odd_pre_tokens(public):
