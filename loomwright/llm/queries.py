@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
 from loomwright.llm.pii import find_pii, mask_pii
+from loomwright.llm.seen import seen_before, wrong_answers
 from loomwright.llm.token_ids import encode_corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +19,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _judged_arrivals(spark: SparkSession, folder: str) -> DataFrame:
+    return seen_before(_table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _judged_arrivals(spark, folder).where("seen").select("arrival_no")
+
+
+def p3_wrong_rate(spark: SparkSession, folder: str) -> DataFrame:
+    """How many answers are wrong, by the exact answer."""
+    return wrong_answers(_judged_arrivals(spark, folder), _table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))
+
+
+P3_FOUND_SQL = """
+SELECT arrival_no FROM (
+  SELECT arrival_no, content, min(arrival_no) OVER (PARTITION BY content) AS first_no FROM arrivals WHERE content IS NOT NULL
+) WHERE arrival_no > first_no OR content IN (SELECT content FROM seen_contents WHERE content IS NOT NULL)
+"""
+
+
 def _web_languages(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     pages = _table(spark, folder, "web_docs")
     model = fit_language_model(_table(spark, folder, "lang_samples"), pages)
@@ -53,8 +74,8 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
+    return {f.__name__: f for f in (p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND_SQL}
