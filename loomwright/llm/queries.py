@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
+from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, wrong_answers
 from loomwright.llm.token_ids import encode_corpus
@@ -19,6 +20,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    near = most_similar(_table(spark, folder, "embedded_instructions"), "instr_id", "__embedding")
+    return similar_pairs(near, 0.90).toDF("instr_id_a", "instr_id_b")
+
+
+def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The loss against the exact answer, for every id divisible by 20 against all rows."""
+    table = _table(spark, folder, "embedded_instructions")
+    return recall_of(most_similar(table, "instr_id", "__embedding"), table, "instr_id", "__embedding")
+
+
 def _judged_arrivals(spark: SparkSession, folder: str) -> DataFrame:
     return seen_before(_table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))
 
@@ -74,7 +86,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
