@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomwright.llm.clusters import density_clusters, describe_clusters
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, wrong_answers
 from loomwright.llm.token_ids import encode_corpus
+from loomwright.plans.lineage import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +22,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    members = cut_lineage(density_clusters(_table(spark, folder, "embedded_instructions"), "instr_id", "__embedding").where("cluster is not null"))
+    first = members.groupBy("cluster").agg(F.min("id").alias("first_id"))
+    return members.join(first, "cluster").where("id > first_id").select("first_id", F.col("id").alias("instr_id"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    """Every cluster with its size and its most typical instructions."""
+    table = _table(spark, folder, "embedded_instructions")
+    clusters = describe_clusters(cut_lineage(density_clusters(table, "instr_id", "__embedding"))).drop("cluster")
+    texts = table.groupBy("instr_id").agg(F.min("instruction").alias("instruction"))
+    each = clusters.select("first_id", "size", "mean_similarity", F.posexplode("medoids").alias("place", "instr_id"))
+    return each.join(texts, "instr_id").select("first_id", "size", "mean_similarity", (F.col("place") + 1).alias("place"), "instr_id", "instruction")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     near = most_similar(_table(spark, folder, "embedded_instructions"), "instr_id", "__embedding")
     return similar_pairs(near, 0.90).toDF("instr_id_a", "instr_id_b")
@@ -86,7 +103,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_recall, p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
