@@ -290,6 +290,8 @@ def density_clusters(
             if turn < s.turns - 1:
                 rest = cut_lineage(_assign(packed, centres, s.member_cosine, dim).where("cluster is null").select("id", "q"))
                 left = rest.count()
+    if len(centres):
+        centres = centres[_sums(packed, centres, s.member_cosine, dim)[1] >= s.least_members]
     return _assign(packed, centres, s.member_cosine, dim).drop("q")
 
 

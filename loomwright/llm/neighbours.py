@@ -126,8 +126,8 @@ def most_similar(
 
     Similarity is the cosine; equal similarities go by the lower id.  Unusable
     vectors (null, wrong length, not finite, all zero) are neither queries nor
-    answers; an id counts once, however often its row is repeated.  With fewer
-    than k other ids there are fewer answers.
+    answers; an id counts once, however often its row is repeated.  Where
+    the lists that a query reads hold fewer than k others it has fewer answers.
     """
     packed = cut_lineage(packed_vectors(df, id_col, vector_col, dim))
     total = packed.count()
@@ -195,7 +195,7 @@ def most_similar(
                 found_m.append(members[at].ravel())
                 found_s.append(np.take_along_axis(sims, at, 1).ravel())
         if not found_q:
-            return pd.DataFrame({"own": [], "near": []})
+            return pd.DataFrame({"own": pd.Series([], dtype=object), "near": pd.Series([], dtype=object)})
         q, m, sim = map(np.concatenate, (found_q, found_m, found_s))
         ok = sim > -2
         q, m, sim = q[ok], m[ok], sim[ok]
@@ -217,7 +217,10 @@ def most_similar(
 
     partial = routed.groupBy("grp").applyInPandas(scan, "own array<bigint>, near array<struct<s:double,id:bigint>>")
     # one row for a point with several ids; near holds all ids of its nearest points
-    merged = partial.groupBy("own").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    # two groups may give the same neighbour with the last bit of its similarity apart
+    gathered = partial.groupBy("own").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("all"))
+    once = F.filter("all", lambda x, i: ~F.exists(F.slice("all", 1, i), lambda y: y["id"] == x["id"]))
+    merged = gathered.select("own", F.slice(once, 1, k).alias("near"))
     with_lonely = merged.unionByName(
         distinct.where(F.size("ids") > 1).select(F.col("ids").alias("own"), F.array().cast("array<struct<s:double,id:bigint>>").alias("near"))
     ).groupBy("own").agg(F.flatten(F.collect_list("near")).alias("near"))

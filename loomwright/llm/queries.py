@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.clusters import density_clusters, describe_clusters
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
+from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, near_duplicate_links
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, wrong_answers
@@ -68,6 +69,17 @@ SELECT arrival_no FROM (
 """
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    links, members = near_duplicate_links(_table(spark, folder, "web_docs"), "page_id", "content")
+    return duplicate_pairs(links, members).toDF("page_id_a", "page_id_b")
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each page with near-duplicates: its group and its number of links."""
+    links, members = near_duplicate_links(_table(spark, folder, "web_docs"), "page_id", "content")
+    return duplicate_groups(cut_lineage(links), members).toDF("page_id", "group_id", "links")
+
+
 def _web_languages(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     pages = _table(spark, folder, "web_docs")
     model = fit_language_model(_table(spark, folder, "lang_samples"), pages)
@@ -103,7 +115,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
