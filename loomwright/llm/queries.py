@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,11 +10,14 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.clusters import density_clusters, describe_clusters
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
+from loomwright.llm.mixing import mix_shares, mix_to_targets, realise, source_tokens, temperature_weights
 from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, near_duplicate_links
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, wrong_answers
-from loomwright.llm.token_ids import encode_corpus
+from loomwright.llm.splitting import split_oversized
+from loomwright.llm.token_budget import host_of, token_budget
+from loomwright.llm.token_ids import encode_corpus, with_token_counts
 from loomwright.plans.lineage import cut_lineage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +73,19 @@ SELECT arrival_no FROM (
 """
 
 
+def p4_budget(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "web_docs")
+    model = fit_language_model(_table(spark, folder, "lang_samples"), pages)
+    web = pages.select(
+        F.col("page_id").alias("id"), F.col("content").alias("text"), "source", F.col("__language").alias("label"),
+        host_of(F.col("url")).alias("host"), F.col("__token_count__content").alias("recorded"),
+    )
+    documents = _table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("label"), host_of(F.col("site")).alias("host"), F.lit(None).cast("int").alias("recorded")
+    )
+    return token_budget({"web_docs": web, "documents": documents}, _table(spark, folder, "site_domains"), model)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     links, members = near_duplicate_links(_table(spark, folder, "web_docs"), "page_id", "content")
     return duplicate_pairs(links, members).toDF("page_id_a", "page_id_b")
@@ -114,8 +131,39 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(_table(spark, folder, "documents"))
 
 
+def _counted(spark: SparkSession, folder: str) -> DataFrame:
+    return with_token_counts(_table(spark, folder, "documents").select("doc_id", "source", "text"), "text")
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each document is taken."""
+    return mix_to_targets(_counted(spark, folder), _table(spark, folder, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Wanted and reached shares of the sources."""
+    targets = _table(spark, folder, "source_targets")
+    return mix_shares(mix_to_targets(_counted(spark, folder), targets)[0], targets)
+
+
+def p9_temperature(spark: SparkSession, folder: str) -> DataFrame:
+    """Without targets: shares raised to the exponent whose entropy is nine tenths of the greatest, as many tokens as there are."""
+    counted = cut_lineage(_counted(spark, folder))
+    tokens = source_tokens(counted)
+    repeats = {r["source"]: r["max_repeats"] for r in _table(spark, folder, "source_targets").collect()}
+    total = 0.5 * sum(tokens.values())
+    weights = temperature_weights(tokens, entropy=0.9 * math.log(max(len(tokens), 1)), total=total, max_repeats=repeats)
+    mix = realise(counted, weights, total)
+    targets = spark.createDataFrame([(s, w, repeats.get(s, 1)) for s, w in weights.items()], "source string, target_share double, max_repeats int")
+    return mix_shares(mix, targets)
+
+
+def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_oversized(_table(spark, folder, "documents"), _table(spark, folder, "split_limits"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p4_budget, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids, p9_mix, p9_shares, p9_temperature, p10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -60,7 +60,8 @@ def test_empty_table_and_long_text(spark):
     empty = spark.createDataFrame([], "page_id bigint, content string")
     links, members = near_duplicate_links(empty, "page_id", "content", DuplicateSettings(blocks=16))
     assert duplicate_pairs(links, members).count() == 0 and duplicate_groups(links, members).count() == 0
-    long = "".join(random.Random(1).choice("abcdefgh ") for _ in range(300_000))
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300_000))
     df = spark.createDataFrame([(1, long), (2, long[:-500] + "z" * 500), (3, "a" * 50_000)], "page_id bigint, content string")
     links, members = near_duplicate_links(df, "page_id", "content")
     assert [tuple(r)[:2] for r in links.collect()] == [(1, 2)]
