@@ -2,8 +2,9 @@
 
 Vectors are reduced by principal components and spread over spatial cells;
 a vector within a margin of a cell's border lies in that cell too.  Inside a
-cell, a vector is a core point when enough others are close; core points whose
-neighbourhoods point the same way form a local cluster.  Local clusters of
+cell, a vector is a core point when enough others are close; from the densest
+core points on, each moves to the mean direction of what lies around it, and
+the core points around a direction so found form a local cluster.  Local clusters of
 different cells that share core points are one cluster, found as connected
 components.  Over the full vectors, each cluster is then all vectors close to
 its mean direction, taken again until it settles.  What is left over goes
@@ -50,7 +51,7 @@ class ClusterSettings:
     most_points: int = 12_000
     anchors: int = 1_500
     sample_rows: int = 60_000
-    turns: int = 2
+    turns: int = 4  # at most; it ends when a turn finds no cluster of least_members
 
 
 def _covariance(packed: DataFrame, dim: int) -> np.ndarray:
@@ -79,7 +80,7 @@ def _axes(covariance: np.ndarray, kept: float) -> np.ndarray:
 
 
 def local_clusters(x: np.ndarray, weight: np.ndarray, s: ClusterSettings) -> tuple[np.ndarray, np.ndarray]:
-    """(label of each point or -1, core flag) of one cell, by density and direction of neighbourhoods."""
+    """(label of each point or -1, core flag) of one cell, by density and mean shift."""
     n = len(x)
     label = np.full(n, -1, dtype=np.int32)
     count = np.zeros(n, dtype=np.float32)
@@ -93,24 +94,27 @@ def local_clusters(x: np.ndarray, weight: np.ndarray, s: ClusterSettings) -> tup
     core = count >= s.core_neighbours
     left = np.flatnonzero(core)
     left = left[np.argsort(-count[left], kind="stable")]
-    number = 0
+    least = s.member_cosine - 0.05
+    found = np.zeros((0, x.shape[1]), dtype=np.float32)
     while len(left):
-        direction = toward[left[0]]
+        # each of the densest core points moves to the mean of what lies around its direction, all at once
+        seeds, left = left[:64], left[64:]
+        directions = toward[seeds]
         for _ in range(6):
-            own = left[toward[left] @ direction >= 0.8]
-            if not len(own):
-                break
-            fresh = (x[own] * weight[own, None]).sum(0)
-            fresh /= max(np.linalg.norm(fresh), 1e-9)
-            if fresh @ direction > 0.9999:
-                break
-            direction = fresh
-        own = left[(toward[left] @ direction >= 0.75) | (x[left] @ direction >= s.member_cosine)]
-        if len(own) >= 2:
-            label[own] = number
-            number += 1
-        gone = np.union1d(own, left[:1])
-        left = left[~np.isin(left, gone)]
+            around = (x @ directions.T >= least).astype(np.float32)
+            moved = around.T @ heavy
+            directions = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9)
+        weights = (x @ directions.T >= least).astype(np.float32).T @ weight
+        before = len(found)
+        for i in np.argsort(-weights, kind="stable"):
+            if weights[i] >= s.core_neighbours and (not len(found) or (found @ directions[i]).max() < 0.8):
+                found = np.vstack([found, directions[i : i + 1]])
+        if len(found) > before and len(left):
+            left = left[(x[left] @ found[before:].T).max(1) < s.near_cosine]
+    if len(found):
+        sims = x @ found.T
+        best = sims.argmax(1)
+        label = np.where(sims[np.arange(n), best] >= least, best, -1).astype(np.int32)
     return label, core & (label >= 0)
 
 
@@ -231,7 +235,7 @@ def _settle(packed: DataFrame, centres: np.ndarray, dim: int, s: ClusterSettings
         fresh = (sums / np.maximum(norm, 1e-9)).astype(np.float32)[ok]
         moved = float((fresh * centres[ok]).sum(1).min()) if ok.any() else 1.0
         centres = _distinct_centres(fresh, members[ok], s.same_cosine)
-        if turn and moved > 0.999999 and ok.all() and len(centres) == len(fresh):
+        if turn and moved > 0.999999 and len(centres) == len(fresh) and (members[ok] >= s.least_members).all():
             break
     return centres
 
@@ -282,10 +286,10 @@ def density_clusters(
             cells = spherical_kmeans(sample, max(1, -(-left // s.cell_rows)), seed=turn)
             merged = _merge(cut_lineage(_local_pass(points, axes, cells, left, dim, s)))
             found = _first_directions(rest, merged, dim)
-            before = len(centres)
             every = np.vstack([centres, found]) if len(found) else centres
-            centres = _settle(packed, every, dim, s, 5)
-            if len(centres) == before and turn:
+            before = len(centres)
+            centres = _settle(packed, every, dim, s, 4)
+            if turn and len(centres) <= before:
                 break
             if turn < s.turns - 1:
                 rest = cut_lineage(_assign(packed, centres, s.member_cosine, dim).where("cluster is null").select("id", "q"))

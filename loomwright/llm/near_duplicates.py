@@ -42,7 +42,7 @@ class DuplicateSettings:
     With ``blocks`` blocks of ``block_values`` values a pair of similarity s is
     missed with a chance of (1 - s**block_values)**blocks: 0.7 % at 0.6, 1e-5
     at 0.7 with the defaults.  ``slack`` is the margin, in similarity, that the
-    sketch test leaves (four standard errors).
+    sketch test leaves (three standard errors).
     """
 
     ngram: int = 9
@@ -50,8 +50,8 @@ class DuplicateSettings:
     blocks: int = 64
     block_values: int = 5
     references: int = 10
-    sketch_bits: int = 512
-    whole_references: int = 12
+    sketch_bits: int = 384
+    whole_references: int = 8
     slack: float = 0.13
 
 
@@ -236,6 +236,12 @@ def _verified(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b").mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
+def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it was counted to be small; else it is joined by a shuffle."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def near_duplicate_links(
     df: DataFrame, id_col: str, text_col: str, settings: DuplicateSettings = DuplicateSettings()
 ) -> tuple[DataFrame, DataFrame]:
@@ -253,17 +259,19 @@ def near_duplicate_links(
     reps = one.groupBy("h").agg(F.min("id").alias("rep"))
     members = cut_lineage(one.join(reps, "h").select("id", "rep", "h"))
     own = members.where("id = rep").select("id", "h")
-    texts = rows.join(own, ["id", "h"], "left_semi").dropDuplicates(["id"])
+    # copies beyond the first are few as a rule; then they are struck out where the rows lie
+    copies = _small(rows.select("id", "h").join(own, ["id", "h"], "left_anti").distinct())
+    texts = rows.join(copies, ["id", "h"], "left_anti")
     keys = _block_keys(texts, s)
     left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
     pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
     pairs = cut_lineage(pairs)
-    sketches = rows.select("id", "h", "sketch").join(own, ["id", "h"], "left_semi").dropDuplicates(["id"]).select("id", "sketch")
+    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
     with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     near = cut_lineage(_near_sketches(with_sketches, s))
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     content = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    content = content.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    content = content.join(_small(involved), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     full = near.join(content.toDF("a", "text_a"), "a").join(content.toDF("b", "text_b"), "b")
     return _verified(full, s), members.select("id", "rep")
 
