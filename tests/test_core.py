@@ -140,13 +140,15 @@ def test_conversations(spark):
     assert [(m["role"], m["content"], m["metadata"]["w"]) for m in got] == [("user", "q", 3), (None, "z", 4)]
 
 
-class _Echo:
-    def __init__(self):
-        self.calls = 0
+def _Echo():
+    class Echo:  # inside a function, so that it travels to the workers by value
+        calls = 0
 
-    def answer(self, prompts, choices=None):
-        self.calls += 1
-        return [None if self.calls == 1 else choices[0] if choices else f" {p.upper()} " for p in prompts]
+        def answer(self, prompts, choices=None):
+            self.calls += 1
+            return [None if self.calls == 1 else choices[0] if choices else f" {p.upper()} " for p in prompts]
+
+    return Echo()
 
 
 def test_backends(spark):
