@@ -213,7 +213,7 @@ def most_similar(
         out: dict[int, list] = {}
         for a, b, c in zip(q.tolist(), m.tolist(), sim.tolist()):
             out.setdefault(a, []).extend({"s": -c, "id": int(i)} for i in ids[b])
-        return pd.DataFrame({"own": [ids[a] for a in out], "near": list(out.values())})
+        return pd.DataFrame({"own": pd.Series([ids[a] for a in out], dtype=object), "near": pd.Series(list(out.values()), dtype=object)})
 
     partial = routed.groupBy("grp").applyInPandas(scan, "own array<bigint>, near array<struct<s:double,id:bigint>>")
     # one row for a point with several ids; near holds all ids of its nearest points
