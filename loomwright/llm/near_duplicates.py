@@ -2,7 +2,8 @@
 
 Similarity is the Jaccard index of the sets of character n-grams of the
 normalised texts.  A text's fingerprint is its one-permutation min-hash: the
-least hash in each of a few hundred bins, ten bits of each.
+least hash in each of some hundred bins, ten bits of each, under a few
+permutations.
 
 Pivot distance tables find the pairs.  The fingerprint is cut into blocks; of
 each block the Hamming distances to reference fingerprints are computed once
@@ -40,15 +41,18 @@ class DuplicateSettings:
     """``threshold`` is the least similarity of a pair.
 
     With ``blocks`` blocks of ``block_values`` values a pair of similarity s is
-    missed with a chance of (1 - s**block_values)**blocks: 0.7 % at 0.6, 1e-5
-    at 0.7 with the defaults.  ``slack`` is the margin, in similarity, that the
-    sketch test leaves (three standard errors).
+    missed with a chance of (1 - s**block_values)**blocks: 0.20 % at 0.50,
+    4e-5 at 0.55, 1e-7 at 0.60 with the defaults.  ``blocks_at_once`` blocks are
+    joined in one turn, which bounds the disk.  ``slack`` is the margin, in
+    similarity, that the sketch test leaves where every bin is filled (three
+    standard errors); it grows as fewer bins are.
     """
 
     ngram: int = 9
     threshold: float = 0.5
-    blocks: int = 64
+    blocks: int = 196
     block_values: int = 5
+    blocks_at_once: int = 28
     references: int = 10
     sketch_bits: int = 384
     whole_references: int = 8
@@ -92,34 +96,40 @@ class Fingerprinter:
         width = 10 * s.block_values
         self.block_refs = rng.integers(0, 1 << min(width, 62), (s.blocks, s.references)).astype(np.uint64)
         self.salt = rng.integers(0, 2**62, s.blocks).astype(np.uint64)
+        self.turns = rng.integers(0, 2**62, s.block_values).astype(np.uint64)
         self.whole_refs = rng.integers(0, 2**63, (s.whole_references, s.sketch_bits // 64)).astype(np.uint64)
 
     def signatures(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(has n-grams, row keys of the blocks, sketch words, distances of the sketch to references)."""
+        """(has n-grams, row keys of the blocks, sketch words, distances of the sketch to references and number of filled bins)."""
         s, bins = self.s, self.bins
         h, counts = _gram_hashes(texts, s.ngram)
         n = len(texts)
-        least = np.full(n * bins, np.uint64(2**64 - 1))
-        if len(h):
-            place = np.repeat(np.arange(n) * bins, counts) + (h % np.uint64(bins)).astype(np.int64)
-            np.minimum.at(least, place, h)
-        least = least.reshape(n, bins)
+        # the values of a block come from permutations of their own, so that copies never fall into one block
+        least = np.full((s.block_values, n * s.blocks), np.uint64(2**64 - 1))
+        start = np.repeat(np.arange(n) * s.blocks, counts)
+        for i in range(s.block_values if len(h) else 0):
+            with np.errstate(over="ignore"):
+                own = (h ^ self.turns[i]) * np.uint64(0x94D049BB133111EB)
+            own ^= own >> np.uint64(32)
+            np.minimum.at(least[i], start + (own % np.uint64(s.blocks)).astype(np.int64), own)
+        least = least.reshape(s.block_values, n, s.blocks).transpose(1, 0, 2).reshape(-1, s.blocks)
         empty = least == np.uint64(2**64 - 1)
         # an empty bin takes the value of the next filled one, mixed with the way there
-        index = np.where(~empty, np.arange(bins), 2 * bins)
-        doubled = np.concatenate([index, index + bins], axis=1)
-        doubled[doubled >= 2 * bins] = 4 * bins
-        following = np.minimum.accumulate(doubled[:, ::-1], axis=1)[:, ::-1][:, :bins]
-        step = np.where(following < 4 * bins, following - np.arange(bins), 0)
-        value = np.take_along_axis(least, np.where(following < 4 * bins, following % bins, 0), axis=1)
+        index = np.where(~empty, np.arange(s.blocks), 2 * s.blocks)
+        doubled = np.concatenate([index, index + s.blocks], axis=1)
+        doubled[doubled >= 2 * s.blocks] = 4 * s.blocks
+        following = np.minimum.accumulate(doubled[:, ::-1], axis=1)[:, ::-1][:, : s.blocks]
+        step = np.where(following < 4 * s.blocks, following - np.arange(s.blocks), 0)
+        value = np.take_along_axis(least, np.where(following < 4 * s.blocks, following % s.blocks, 0), axis=1)
         with np.errstate(over="ignore"):
             value = (value + step.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x94D049BB133111EB)
         value ^= value >> np.uint64(31)
+        value, empty = value.reshape(n, bins), empty.reshape(n, bins)
 
         ten = (value >> np.uint64(20)) & np.uint64(1023)
         words = np.zeros((n, s.blocks), dtype=np.uint64)
         for i in range(s.block_values):
-            words = (words << np.uint64(10)) | ten[:, i :: s.block_values][:, : s.blocks]
+            words = (words << np.uint64(10)) | ten[:, i * s.blocks : (i + 1) * s.blocks]
         keys = np.zeros((n, s.blocks), dtype=np.uint64)
         for r in range(s.references):  # one row of distances, six bits each
             keys = (keys << np.uint64(6)) | np.bitwise_count(words ^ self.block_refs[None, :, r]).astype(np.uint64)
@@ -128,18 +138,23 @@ class Fingerprinter:
         keys ^= keys >> np.uint64(33)
         keys &= np.uint64((1 << 44) - 1)
 
-        bits = np.zeros((n, s.sketch_bits), dtype=np.uint8)
-        per = -(-s.sketch_bits // bins)
-        for i in range(per):
-            take = min(bins, s.sketch_bits - i * bins)
-            bits[:, i * bins : i * bins + take] = (value[:, :take] >> np.uint64(40 + i)) & np.uint64(1)
-        sketch = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-        far = np.stack([np.bitwise_count(sketch ^ ref[None, :]).sum(1) for ref in self.whole_refs], axis=1).astype(np.int16)
+        i = np.arange(s.sketch_bits)
+        place, shift = (i * bins // s.sketch_bits, 0 * i) if bins >= s.sketch_bits else (i % bins, i // bins)
+        bits = ((value[:, place] >> (40 + shift).astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+        sketch = np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64)
+        far = np.stack([np.bitwise_count(sketch ^ ref[None, :]).sum(1) for ref in self.whole_refs] + [(~empty).sum(1)], axis=1).astype(np.int16)
         return counts > 0, keys, sketch, far
 
-    def most_bits(self) -> int:
-        """The Hamming distance of sketches that a pair of the least similarity stays within."""
-        return int(self.s.sketch_bits * (1 - (self.s.threshold - self.s.slack)) / 2)
+    def most_bits(self, filled: np.ndarray) -> np.ndarray:
+        """The Hamming distances of sketches that pairs of the least similarity stay within.
+
+        ``filled`` is the larger number of filled bins of each pair: the sketch draws at least
+        so many values, and the other bins copy them in runs of uneven length.
+        """
+        s, part = self.s, np.clip(filled, 1, self.bins) / self.bins
+        drawn = np.minimum(s.sketch_bits, self.bins * part / (2 - part))
+        slack = s.slack * np.sqrt((2 + s.sketch_bits / drawn) / 3)  # two thirds of the variance are the bits' own
+        return (s.sketch_bits * (1 - (s.threshold - slack)) / 2).astype(np.int64)
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, s: DuplicateSettings) -> DataFrame:
@@ -178,15 +193,17 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, s: DuplicateSettings)
     return spread(narrow).mapInArrow(run, "id bigint, h binary, keys binary, sketch binary")
 
 
-def _block_keys(df: DataFrame, s: DuplicateSettings) -> DataFrame:
+def _block_keys(df: DataFrame, first: int, last: int) -> DataFrame:
+    """``(id, key)`` of the blocks from ``first`` to before ``last``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            six = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 6)
+            six = np.frombuffer(b"".join(k[first * 6 : last * 6] for k in batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 6)
             eight = np.zeros((len(six), 8), dtype=np.uint8)
             eight[:, :6] = six
-            ids = np.repeat(batch.column(0).to_numpy(), s.blocks)
+            ids = np.repeat(batch.column(0).to_numpy(), last - first)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(eight.view(np.int64).ravel())], names=["id", "key"])
 
     return df.select("id", "keys").mapInArrow(run, "id bigint, key bigint")
@@ -197,13 +214,14 @@ def _near_sketches(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     words = s.sketch_bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = Fingerprinter(s).most_bits()
+        make = Fingerprinter(s)
         for batch in batches:
             if not batch.num_rows:
                 continue
             raw = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3)]
             far = [np.ascontiguousarray(x[:, words * 8 :]).view(np.int16) for x in raw]
-            keep = np.abs(far[0] - far[1]).max(1) <= most
+            most = make.most_bits(np.maximum(far[0][:, -1], far[1][:, -1]))
+            keep = np.abs(far[0][:, :-1] - far[1][:, :-1]).max(1) <= most
             bits = [np.ascontiguousarray(x[:, : words * 8]).view(np.uint64) for x in raw]
             keep &= np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= most
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
@@ -242,6 +260,16 @@ def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def _near_in_blocks(texts: DataFrame, first: int, last: int, s: DuplicateSettings) -> DataFrame:
+    """``(a, b)`` of the texts that are equal in one of the blocks and near by their sketches."""
+    keys = _block_keys(texts, first, last)
+    left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
+    pairs = cut_lineage(left.join(right, "key").where("a < b").select("a", "b").distinct())
+    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
+    with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+    return cut_lineage(_near_sketches(with_sketches, s))
+
+
 def near_duplicate_links(
     df: DataFrame, id_col: str, text_col: str, settings: DuplicateSettings = DuplicateSettings()
 ) -> tuple[DataFrame, DataFrame]:
@@ -262,13 +290,12 @@ def near_duplicate_links(
     # copies beyond the first are few as a rule; then they are struck out where the rows lie
     copies = _small(rows.select("id", "h").join(own, ["id", "h"], "left_anti").distinct())
     texts = rows.join(copies, ["id", "h"], "left_anti")
-    keys = _block_keys(texts, s)
-    left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
-    pairs = left.join(right, "key").where("a < b").select("a", "b").distinct()
-    pairs = cut_lineage(pairs)
-    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
-    with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    near = cut_lineage(_near_sketches(with_sketches, s))
+    near = None
+    for first in range(0, s.blocks, s.blocks_at_once):
+        found = _near_in_blocks(texts, first, min(first + s.blocks_at_once, s.blocks), s)
+        near = found if near is None else near.unionByName(found)
+        df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn
+    near = cut_lineage(near.distinct())
     involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     content = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
     content = content.join(_small(involved), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))

@@ -44,6 +44,30 @@ def test_pairs_and_groups_against_brute_force(spark):
     assert all(groups[a][0] == groups[b][0] for a, b in got)
 
 
+def _edited(rng, base, low, high):
+    """``base`` with words replaced until the similarity lies within the bounds."""
+    grams = _grams(base)
+    while True:
+        words = base.split("_")
+        for k in rng.sample(range(len(words)), max(1, round(len(words) * rng.uniform(0.05, 0.3)))):
+            words[k] = "".join(rng.choice("klmnopqrs") for _ in words[k])
+        other = _grams("_".join(words))
+        if low <= len(grams & other) / len(grams | other) <= high:
+            return "_".join(words)
+
+
+def test_pairs_just_above_the_threshold_are_found(spark):
+    rng = random.Random(11)
+    rows = []
+    for size in [25] * 300 + [150] * 300:  # fewer n-grams than bins, and more
+        base = "_".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(size))
+        rows += [(len(rows), base), (len(rows) + 1, _edited(rng, base, 0.5, 0.57))]
+    links, _ = near_duplicate_links(spark.createDataFrame(rows, "page_id bigint, content string"), "page_id", "content")
+    got = {(r.a, r.b) for r in links.collect()}
+    assert got <= {(k, k + 1) for k in range(0, len(rows), 2)}
+    assert len({p for p in got if p[0] < 600}) >= 298 and len({p for p in got if p[0] >= 600}) >= 298
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab🙂é ", max_size=30), max_size=6))
 def test_gram_hashes_stay_inside_their_texts(texts):
