@@ -151,7 +151,7 @@ def p9_temperature(spark: SparkSession, folder: str) -> DataFrame:
     counted = cut_lineage(_counted(spark, folder))
     tokens = source_tokens(counted)
     repeats = {r["source"]: r["max_repeats"] for r in _table(spark, folder, "source_targets").collect()}
-    total = 0.5 * sum(tokens.values())
+    total = sum(tokens.values())
     weights = temperature_weights(tokens, entropy=0.9 * math.log(max(len(tokens), 1)), total=total, max_repeats=repeats)
     mix = realise(counted, weights, total)
     targets = spark.createDataFrame([(s, w, repeats.get(s, 1)) for s, w in weights.items()], "source string, target_share double, max_repeats int")

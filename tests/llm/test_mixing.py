@@ -5,6 +5,7 @@ import pytest
 from loomwright.llm.language import LanguageModel, _bag
 from loomwright.llm.mixing import mix_shares, mix_to_targets, target_weights, temperature_weights
 from loomwright.llm.token_budget import host_of, token_budget
+from loomwright.llm.queries import p9_temperature
 from loomwright.llm.tokenizer import encoder
 
 
@@ -40,6 +41,17 @@ def test_shares_are_reached(spark):
     assert mix_to_targets(df.limit(0), targets)[0].count() == 0
 
 
+def test_temperature_mix_is_as_large_as_the_corpus(spark, tmp_path):
+    rows = [(i, "big" if i % 5 else "small", f"some words of text number {i}") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 4)], "source string, target_share double, max_repeats int")
+    targets.write.parquet(f"{tmp_path}/source_targets.parquet")
+    got = {r.source: r for r in p9_temperature(spark, str(tmp_path)).collect()}
+    everything = sum(r.tokens for r in got.values())
+    assert 0.99 * everything <= sum(r.mixed_tokens for r in got.values()) <= everything
+    assert all(r.most_repeats <= r.max_repeats for r in got.values())
+
+
 def test_budget_totals(spark):
     model = LanguageModel.fit([_bag("The house by the river is old."), _bag("Das Haus am Fluss ist alt.")], ["en", "de"], centroids=1)
     rows = [(1, "The house is old.", "s", "de", "a.test", 9), (1, "The house is old.", "s", "de", "a.test", 9), (2, "Das Haus ist alt.", None, None, "b.test", None), (3, None, "s", "fr", None, -4), (4, "", "s", "xx", "a.test", 0)]
