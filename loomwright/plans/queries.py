@@ -136,6 +136,12 @@ def classifier_preprocess(spark, folder):
     return latin.select("doc_id", tx.classifier_text(F.col("text")).alias("text"))
 
 
+@_query()
+def classifier_preprocess_all(spark, folder):
+    """Every row; classifier_preprocess is the part that its SQL can be compared on."""
+    return _docs(spark, folder).select("doc_id", tx.classifier_text(F.col("text")).alias("text"))
+
+
 @_query("SELECT doc_id, replace(lower(source), ' ', '_') AS label, left(text, 250) AS shown FROM documents")
 def labels_and_truncation(spark, folder):
     return _docs(spark, folder).select("doc_id", tx.canonical_label(F.col("source")).alias("label"), tx.truncated(F.col("text")).alias("shown"))
@@ -364,6 +370,12 @@ def conv_add_system(spark, folder):
     return _rendered()(cv.add_initial_system_message(df, "conversation", "Be brief.")).select("chat_id", "received_at", "rendered")
 
 
+@_query()
+def conv_add_system_all(spark, folder):
+    """Every row; conv_add_system is the part that its SQL can be compared on."""
+    return _conv(spark, folder, lambda df: _rendered()(cv.add_initial_system_message(df, "conversation", "Be brief.")), "rendered")
+
+
 @_query("""SELECT chat_id, received_at, CASE WHEN conversation[1].role = 'system' THEN conversation[1].content END AS system_message,
   len(conversation) - CASE WHEN conversation[1].role = 'system' THEN 1 ELSE 0 END AS n_left FROM std_chats""")
 def conv_take_system(spark, folder):
@@ -412,6 +424,12 @@ def perplexity_unigram(spark, folder):
     return models.unigram_perplexity(ascii_only, "doc_id", "text")
 
 
+@_query()
+def perplexity_unigram_all(spark, folder):
+    """Every row, by the word frequencies of all texts; perplexity_unigram is the part that its SQL can be compared on."""
+    return models.unigram_perplexity(_docs(spark, folder), "doc_id", "text")
+
+
 @_query()
 def text_classifier(spark, folder):
     docs = _docs(spark, folder).where("text is not null")

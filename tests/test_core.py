@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -182,5 +186,25 @@ def test_files(spark, tmp_path):
     assert kept.count() == 4  # equal order numbers stay together
 
 
+def test_whole_tables_are_covered(spark, tmp_path):
+    texts = ["One two, two!", "Élan vital two", "Привет мир", None, "", "日本 two"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: {r[0]: r for r in queries()[name](spark, str(tmp_path)).collect()}
+    words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in enumerate(texts)}
+    f = Counter(w for ws in words.values() for w in ws)
+    size = sum(f.values()) + len(f)
+    got = run("perplexity_unigram_all")
+    assert set(got) == set(words)
+    for i, ws in words.items():
+        want = 10 ** (-sum(math.log10((f[w] + 1) / size) for w in ws) / len(ws)) if ws else None
+        assert got[i].words == len(ws) and got[i].perplexity == (want if want is None else pytest.approx(want, abs=0.051))
+    shown = {i: r.text for i, r in run("classifier_preprocess_all").items()}
+    assert shown == {0: "one two ,  two ! ", 1: "élan vital two", 2: "привет мир", 3: None, 4: "", 5: "日本 two"}
+    chats = spark.createDataFrame(CHATS + [(5, [("odd", "z")])], "chat_id bigint, conversation array<struct<role:string,content:string>>")
+    chats.withColumn("received_at", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/std_chats.parquet")
+    added = {i: r.rendered for i, r in run("conv_add_system_all").items()}
+    assert added == {1: "<S>Be brief.<S>s<U>a<A>b<U>c", 2: "<S>Be brief.", 3: None, 4: "<S>Be brief.<U>x<U>unknowny", 5: "<S>Be brief.unknownz"}
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(oracle_sql()) <= set(queries()) and len(oracle_sql()) > 35
