@@ -13,7 +13,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
 from pyspark.ml.functions import array_to_vector
@@ -71,6 +71,30 @@ def classify_embeddings(df: DataFrame, model: PipelineModel | str, vector_col: s
     return out.select(*df.columns, F.col("predicted").alias(new_column))
 
 
+def _trigrams(text):
+    """Three-character sequences of the lower-case words, blanks between; none where there is no letter."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"\P{L}+", " "), F.lit(" "))
+    return F.when(F.rlike(text, F.lit(r"\p{L}")), F.regexp_extract_all(padded, F.lit("(?=(...))"), 1)).otherwise(F.array().cast("array<string>"))
+
+
+def train_language_detector(samples: DataFrame, field: str, label: str, features: int = 1 << 15) -> PipelineModel:
+    """Naive Bayes over character trigrams of texts of known language."""
+    rows = samples.where(F.col(label).isNotNull() & F.col(field).isNotNull()).withColumn("__grams", _trigrams(F.col(field)))
+    indexer = StringIndexer(inputCol=label, outputCol="__label", stringOrderType="alphabetAsc").fit(rows)
+    stages = [
+        HashingTF(inputCol="__grams", outputCol="__features", numFeatures=features),
+        NaiveBayes(featuresCol="__features", labelCol="__label", predictionCol="__prediction", smoothing=0.1),
+        IndexToString(inputCol="__prediction", outputCol="predicted", labels=indexer.labels),
+    ]
+    return PipelineModel(Pipeline(stages=stages).fit(indexer.transform(rows)).stages)
+
+
+def detect_language(df: DataFrame, model: PipelineModel, field: str, new_column: str = "__language") -> DataFrame:
+    """The likeliest language of every row; null where the text is null or has no letter."""
+    out = model.transform(df.withColumn("__grams", _trigrams(F.col(field))))
+    return out.select(*df.columns, F.when(F.size("__grams") > 0, F.col("predicted")).alias(new_column))
+
+
 def words_of(text):
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 

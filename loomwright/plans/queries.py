@@ -98,9 +98,30 @@ def byte_counts(spark, folder):
 
 @_query("SELECT doc_id, n_chars, lang FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 900 AND NOT contains(lower(text), 'recipe')")
 def detect_then_filter(spark, folder):
+    """By the stored label and length, as the SQL does; detect_then_filter_texts detects."""
     return _docs(spark, folder).where((F.col("lang") == "en") & F.col("n_chars").between(200, 900) & ~F.contains(F.lower("text"), F.lit("recipe"))).select("doc_id", "n_chars", "lang")
 
 
+def _languages(spark, folder):
+    samples = _table(spark, folder, "lang_samples")
+    model = models.train_language_detector(samples, "sample_text", "lang")
+    return models.detect_language(_docs(spark, folder), model, "text", "language")
+
+
+@_query()
+def lang_predict(spark, folder):
+    """The language of every text, from the text alone."""
+    return _languages(spark, folder).select("doc_id", "language")
+
+
+@_query()
+def detect_then_filter_texts(spark, folder):
+    """As detect_then_filter, but by the detected language and the length of the text itself; stored labels play no part."""
+    n_chars = F.length("text").cast("bigint").alias("n_chars")
+    kept = _languages(spark, folder).where((F.col("language") == "en") & F.length("text").between(200, 900) & ~F.contains(F.lower("text"), F.lit("recipe")))
+    return kept.select("doc_id", n_chars, "language")
+
+
 @_query("SELECT doc_id, row_number() OVER (ORDER BY added_at NULLS FIRST, doc_id) - 1 AS id FROM documents")
 def dense_row_ids(spark, folder):
     return frame.with_row_id(_docs(spark, folder).select("doc_id", "added_at"), [F.asc_nulls_first("added_at"), "doc_id"], "id").select("doc_id", "id")

@@ -206,5 +206,17 @@ def test_whole_tables_are_covered(spark, tmp_path):
     assert added == {1: "<S>Be brief.<S>s<U>a<A>b<U>c", 2: "<S>Be brief.", 3: None, 4: "<S>Be brief.<U>x<U>unknowny", 5: "<S>Be brief.unknownz"}
 
 
+def test_languages_are_detected_from_the_text(spark, tmp_path):
+    en, de = ["the house is old and the river is long", "we went there with our friends"], ["das Haus ist alt und der Fluss ist lang", "wir gingen mit unseren Freunden dorthin"]
+    samples = [(i, lang, t) for lang, ts in (("en", en), ("de", de)) for i, t in enumerate(ts)]
+    spark.createDataFrame(samples, "sample_id int, lang string, sample_text string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    long_en, long_de = "The friends went to the old house. " * 10, "Die Freunde gingen zu dem alten Haus. " * 10
+    docs = [(1, long_en, "en_GB"), (2, long_en, None), (3, long_de, "en"), (4, None, "en"), (5, "12 - 7", "en"), (6, long_en * 9, "en"), (7, "the old recipe " * 20, "en")]
+    spark.createDataFrame([(*d, -1) for d in docs], "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: [tuple(r) for r in queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert run("lang_predict") == [(1, "en"), (2, "en"), (3, "de"), (4, None), (5, None), (6, "en"), (7, "en")]
+    assert run("detect_then_filter_texts") == [(1, len(long_en), "en"), (2, len(long_en), "en")]
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(oracle_sql()) <= set(queries()) and len(oracle_sql()) > 35
