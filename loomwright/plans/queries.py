@@ -316,7 +316,7 @@ def pca_embed(spark, folder):
 
 @_query()
 def svd_embed(spark, folder):
-    return ve.plot_points(ve.reduce_dimensions(_emb(spark, folder), "embedding", 2, "svd"), "embedding_svd_2", "label")
+    return ve.reduce_dimensions(_emb(spark, folder), "embedding", 2, "svd").select("vec_id", "embedding_svd_2")
 
 
 # -- min-hash ------------------------------------------------------------------------

@@ -218,5 +218,13 @@ def test_languages_are_detected_from_the_text(spark, tmp_path):
     assert run("detect_then_filter_texts") == [(1, len(long_en), "en"), (2, len(long_en), "en")]
 
 
+def test_svd_keeps_every_row_and_its_id(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(50_100)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries()["svd_embed"](spark, str(tmp_path))
+    assert got.columns == ["vec_id", "embedding_svd_2"] and got.select("vec_id").distinct().count() == len(rows)
+    assert got.where(F.size("embedding_svd_2") != 2).count() == 0
+
+
 def test_every_query_has_sql_or_a_reason():
     assert set(oracle_sql()) <= set(queries()) and len(oracle_sql()) > 35
