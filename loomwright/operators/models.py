@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, LogisticRegression, NaiveBayes, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IndexToString, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +26,14 @@ from loomwright.operators.frame import hash_split
 
 
 def train_text_classifier(df: DataFrame, field: str, label: str, id_col: str, path: str | None = None, features: int = 1 << 16, seed: int = 42) -> tuple[PipelineModel, float]:
-    """(model, accuracy on the test split): word uni- and bigrams, logistic regression."""
+    """(model, accuracy on the test split): word uni- and bigrams, untuned logistic regression."""
     rows = hash_split(df.where(F.col(label).isNotNull() & F.col(field).isNotNull()), id_col, 0.0, 0.1, seed).withColumn("__text", classifier_text(F.col(field)))
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
     indexer = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip").fit(train)
     stages = [
         indexer, RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+"), NGram(n=2, inputCol="__words", outputCol="__pairs"),
-        HashingTF(inputCol="__words", outputCol="__features", numFeatures=features), LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__prediction", maxIter=20),
+        SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
+        HashingTF(inputCol="__terms", outputCol="__features", numFeatures=features), LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__prediction", maxIter=20),
         IndexToString(inputCol="__prediction", outputCol="predicted", labels=indexer.labels),
     ]
     model = Pipeline(stages=stages).fit(train)

@@ -218,6 +218,14 @@ def test_languages_are_detected_from_the_text(spark, tmp_path):
     assert run("detect_then_filter_texts") == [(1, len(long_en), "en"), (2, len(long_en), "en")]
 
 
+def test_classifier_reads_word_pairs(spark):
+    rows = [(i, "red fox blue hen" if i % 2 else "blue fox red hen", "x" if i % 2 else "y") for i in range(200)]  # the same words in another order
+    df = spark.createDataFrame(rows, "id bigint, t string, label string")
+    model, accuracy = models.train_text_classifier(df, "t", "label", "id")
+    assert accuracy == 1.0
+    assert all(r.label == r.guess for r in models.classify_text(df, model, "t", "guess").collect())
+
+
 def test_svd_keeps_every_row_and_its_id(spark, tmp_path):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(50_100)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
