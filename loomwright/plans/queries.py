@@ -206,8 +206,8 @@ s AS (SELECT doc_id, regexp_replace(a, '^[%(ws)s]+|[%(ws)s]+$', '', 'g') AS a, r
 SELECT doc_id, list_max(list_concat([0], list_filter(range(1, 61), lambda i: i <= length(a) AND i <= length(b) AND left(a, i) = left(b, i))))::BIGINT AS shared FROM s
 """.replace("%(ws)s", _WS))
 def shared_prefix_lengths(spark, folder):
-    """Common prefix of the starts of each text and the one before it in id order."""
-    numbered = frame.with_row_id(_docs(spark, folder).where("text is not null").select("doc_id", F.left("text", F.lit(60)).alias("a")), ["doc_id"], "n")
+    """Common prefix of each whole text and the one before it in id order; the SQL looks at 60 characters, so it agrees up to there."""
+    numbered = frame.with_row_id(_docs(spark, folder).where("text is not null").select("doc_id", F.col("text").alias("a")), ["doc_id"], "n")
     before = numbered.select((F.col("n") + 1).alias("n"), F.col("a").alias("b"))
     return numbered.join(before, "n").select("doc_id", F.length(tx.shared_prefix(F.col("a"), F.col("b"))).cast("bigint").alias("shared"))
 

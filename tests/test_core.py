@@ -226,6 +226,12 @@ def test_classifier_reads_word_pairs(spark):
     assert all(r.label == r.guess for r in models.classify_text(df, model, "t", "guess").collect())
 
 
+def test_shared_prefixes_are_those_of_whole_texts(spark, tmp_path):
+    rows = [(1, "a" * 100 + "x"), (2, "a" * 100 + "y"), (3, None), (4, "a" * 70), (5, "b")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.shared for r in queries()["shared_prefix_lengths"](spark, str(tmp_path)).collect()} == {2: 100, 4: 70, 5: 0}
+
+
 def test_svd_keeps_every_row_and_its_id(spark, tmp_path):
     rows = [(i, [float(i % 7), 1.0, float(i % 3)], i % 2) for i in range(50_100)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
