@@ -4,15 +4,16 @@ Vectors are reduced by principal components and spread over spatial cells;
 a vector within a margin of a cell's border lies in that cell too.  Inside a
 cell, a vector is a core point when enough others are close; from the densest
 core points on, each moves to the mean direction of what lies around it, and
-the core points around a direction so found form a local cluster.  Local clusters of
+the points around a direction so found form a local cluster.  Local clusters of
 different cells that share core points are one cluster, found as connected
-components.  Over the full vectors, each cluster is then all vectors close to
-its mean direction, taken again until it settles.  What is left over goes
-through a second turn, where small clusters no longer stand beside large ones.
-
-A cell with more points than ``most_points`` is dealt out to blocks by a hash;
-a set of anchor points of the cell lies in each block, so that the blocks'
-clusters still share core points.
+components.  A vector belongs to the cluster of its local cluster in its own
+cell; what has none there is offered to the clusters of the cells further
+around it.  An exact check follows: a member stays if it is close enough to the
+mean direction of its cluster.  What is left over goes through another turn, in
+cells of its own, until a turn finds no further cluster.
+
+A cell with more points than ``most_points`` is cut by centres of its own, with
+the same margins, inside its task.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectors import nearest, pack, packed_vectors, sample_vectors, spherical_kmeans, unpack
+from loomwright.llm.vectors import CellRouter, pack, packed_rows, sample_vectors, spherical_kmeans, tree_kmeans, unpack
 from loomwright.plans.components import connected_components
 from loomwright.plans.lineage import cut_lineage
 
@@ -35,40 +38,46 @@ class ClusterSettings:
     """What a cluster is, and how the work is cut.
 
     ``least_members`` vectors with a cosine of at least ``member_cosine`` to
-    their mean direction make a cluster; two directions with a cosine of
-    ``same_cosine`` or more are one cluster.
+    their mean direction make a cluster.  ``local_cosine`` is the same inside a
+    cell, with room for the error of a local mean.  The centres of the cells are
+    fitted on a sample of ``sample_rows`` vectors or ``sample_per_cell`` a cell,
+    whichever is more; everything else covers all vectors.
     """
 
     least_members: int = 15
     member_cosine: float = 0.65
-    same_cosine: float = 0.6
+    local_cosine: float = 0.6
     near_cosine: float = 0.5  # neighbourhood of a core point
     core_neighbours: int = 6
+    same_cosine: float = 0.8  # two local directions of one cell that are one
+    link_cosine: float = 0.85  # of the directions of two local clusters that shared core points join
+    apart_cosine: float = 0.6  # directions this close are not two clusters; one that is ``stray_ratio`` times smaller is chance
+    stray_ratio: int = 8
     kept_variance: float = 0.85
     cell_rows: int = 3_000
     replicas: int = 3
     margin_ratio: float = 1.12
+    offers: int = 6  # cells around a vector whose clusters it is offered to
     most_points: int = 12_000
-    anchors: int = 1_500
-    sample_rows: int = 60_000
-    turns: int = 4  # at most; it ends when a turn finds no cluster of least_members
+    sample_rows: int = 20_000
+    sample_per_cell: int = 40
 
 
 def _covariance(packed: DataFrame, dim: int) -> np.ndarray:
-    """Second moments of all vectors, summed per partition and then per entry."""
+    """Second moments of all vectors, summed per partition and then over the partitions."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            if len(batch):
-                x = unpack(batch["q"].tolist(), dim).astype(np.float64)
+            if batch.num_rows:
+                x = unpack(batch.column(0).to_pylist(), dim)
                 total += x.T @ x
-        yield pd.DataFrame({"i": np.arange(dim), "row": list(total)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), pa.array(list(total))], names=["i", "row"])
 
-    rows = packed.select("q").mapInPandas(run, "i int, row array<double>")
-    sums = rows.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    rows = packed.select("q").mapInArrow(run, "i int, row array<double>")
+    sums = rows.groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"x{j}") for j in range(dim)]).toPandas()  # dim rows
     out = np.zeros((dim, dim))
-    out[sums["i"], sums["j"]] = sums["v"]
+    out[sums["i"]] = sums.drop(columns="i").to_numpy()
     return out
 
 
@@ -79,10 +88,21 @@ def _axes(covariance: np.ndarray, kept: float) -> np.ndarray:
     return vectors[:, order[: int(np.searchsorted(share, kept)) + 1]].astype(np.float32)
 
 
+def _reduced(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    r = x @ axes
+    return r / np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9)
+
+
+def _near_cells(router: CellRouter, r: np.ndarray, most: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, best first; whether within the margin) of each row."""
+    cells, sims = router.top(r, most)
+    distance = np.maximum(1 - sims, 1e-6)
+    return cells, (cells >= 0) & (distance <= ratio * distance[:, :1])
+
+
 def local_clusters(x: np.ndarray, weight: np.ndarray, s: ClusterSettings) -> tuple[np.ndarray, np.ndarray]:
     """(label of each point or -1, core flag) of one cell, by density and mean shift."""
     n = len(x)
-    label = np.full(n, -1, dtype=np.int32)
     count = np.zeros(n, dtype=np.float32)
     toward = np.zeros_like(x)
     heavy = x * weight[:, None]
@@ -94,239 +114,327 @@ def local_clusters(x: np.ndarray, weight: np.ndarray, s: ClusterSettings) -> tup
     core = count >= s.core_neighbours
     left = np.flatnonzero(core)
     left = left[np.argsort(-count[left], kind="stable")]
-    least = s.member_cosine - 0.05
     found = np.zeros((0, x.shape[1]), dtype=np.float32)
     while len(left):
-        # each of the densest core points moves to the mean of what lies around its direction, all at once
-        seeds, left = left[:64], left[64:]
-        directions = toward[seeds]
-        for _ in range(6):
-            around = (x @ directions.T >= least).astype(np.float32)
-            moved = around.T @ heavy
-            directions = moved / np.maximum(np.linalg.norm(moved, axis=1, keepdims=True), 1e-9)
-        weights = (x @ directions.T >= least).astype(np.float32).T @ weight
-        before = len(found)
-        for i in np.argsort(-weights, kind="stable"):
-            if weights[i] >= s.core_neighbours and (not len(found) or (found @ directions[i]).max() < 0.8):
-                found = np.vstack([found, directions[i : i + 1]])
-        if len(found) > before and len(left):
-            left = left[(x[left] @ found[before:].T).max(1) < s.near_cosine]
+        # the densest core point moves to the mean of what lies around it; core points that head there are done
+        direction = toward[left[0]]
+        for _ in range(3):
+            moved = heavy[x @ direction >= s.local_cosine].sum(0)
+            size = np.linalg.norm(moved)
+            if size < 1e-9:
+                break
+            direction = (moved / size).astype(np.float32)
+        done = toward[left] @ direction >= s.same_cosine - 0.1
+        done[0] = True
+        left = left[~done]
+        if weight[x @ direction >= s.local_cosine].sum() >= s.core_neighbours and not (len(found) and (found @ direction).max() >= s.same_cosine):
+            found = np.vstack([found, direction[None, :]])
+    label = np.full(n, -1, dtype=np.int32)
     if len(found):
         sims = x @ found.T
         best = sims.argmax(1)
-        label = np.where(sims[np.arange(n), best] >= least, best, -1).astype(np.int32)
+        label = np.where(sims[np.arange(n), best] >= s.local_cosine, best, -1).astype(np.int32)
     return label, core & (label >= 0)
 
 
-def _local_pass(points: DataFrame, axes: np.ndarray, centres: np.ndarray, total: int, dim: int, s: ClusterSettings) -> DataFrame:
-    """``(id, local)``: core points with the local clusters that hold them."""
-    reduced = axes.shape[1]
-    spark = points.sparkSession
-    shared = spark.sparkContext.broadcast((axes, centres))  # centres: one for each cell_rows points of the bounded sample
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        axes, centres = shared.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            r = unpack(batch["q"].tolist(), dim) @ axes
-            r /= np.maximum(np.linalg.norm(r, axis=1, keepdims=True), 1e-9)
-            for i in range(0, len(r), 4096):
-                part = r[i : i + 4096]
-                sims = part @ centres.T
-                take = min(s.replicas, sims.shape[1])
-                at = np.argpartition(-sims, take - 1, axis=1)[:, :take]
-                distance = 1 - np.take_along_axis(sims, at, 1)
-                row, col = np.nonzero(distance <= s.margin_ratio * distance.min(1, keepdims=True))
-                raw = pack(part)
-                yield pd.DataFrame(
-                    {
-                        "cell": at[row, col].astype(np.int32),
-                        "id": batch["id"].to_numpy()[i : i + 4096][row],
-                        "weight": batch["weight"].to_numpy()[i : i + 4096][row],
-                        "r": [raw[j].tobytes() for j in row],
-                    }
+def _cut_cell(r: np.ndarray, weight: np.ndarray, home: np.ndarray, s: ClusterSettings) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, which of them are at home, whether each lies in several parts) of the parts of one cell; one part if it is not too large."""
+    n = len(r)
+    if n <= s.most_points:
+        yield np.arange(n), home, np.zeros(n, dtype=bool)
+        return
+    router = CellRouter(spherical_kmeans(r, -(-n // s.cell_rows)))
+    cells, near = _near_cells(router, r, s.replicas, s.margin_ratio)
+    several = near.sum(1) > 1
+    for part in range(len(router.centres)):
+        inside = np.flatnonzero(((cells == part) & near).any(1))
+        if len(inside):
+            yield inside, home[inside] & (cells[inside, 0] == part), several[inside]
+
+
+# kinds of rows that a cell gives: members and others at home, core points that lie in several cells, local clusters
+_MEMBER, _OTHER, _SHARED, _LOCAL = range(4)
+_CELL_ROW = "kind int, h bigint, cell int, local bigint, weight bigint, q binary, v array<double>"
+
+
+def _local_pass(points: DataFrame, axes: np.ndarray, router: CellRouter, turn: int, dim: int, s: ClusterSettings) -> DataFrame:
+    """The rows of all cells, each point at home in one of them."""
+    shared = points.sparkSession.sparkContext.broadcast((axes, router))  # a centre for each cell_rows points, 2 * dim bytes
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes, router = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                cells, near = _near_cells(router, _reduced(unpack(batch.column(1).to_pylist(), dim), axes), s.replicas, s.margin_ratio)
+                row, col = np.nonzero(near)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(cells[row, col].astype(np.int32)), pa.array(col == 0), pa.array((near.sum(1) > 1)[row]),
+                        batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take),
+                    ],
+                    names=["cell", "home", "several", "h", "q", "weight"],
                 )
 
-    routed = points.mapInPandas(route, "cell int, id bigint, weight bigint, r binary")
-    routed = cut_lineage(routed)
-    sizes = routed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / s.most_points).cast("int").alias("blocks"))
-    cut = routed.join(sizes, "cell")
-    turn = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks").cast("bigint")).cast("int")
-    anchor = F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks").cast("bigint") * s.most_points) < s.anchors
-    block = F.when((F.col("blocks") > 1) & anchor, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(turn))
-    dealt = cut.withColumn("block", F.explode(block)).select("cell", "block", "id", "weight", "r")
+    routed = points.select("h", "q", "weight").mapInArrow(route, "cell int, home boolean, several boolean, h bigint, q binary, weight bigint")
+
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        cell = table.column("cell")[0].as_py()
+        h, q = table.column("h").to_numpy(), table.column("q").to_pylist()
+        home, several = (table.column(c).to_numpy(zero_copy_only=False) for c in ("home", "several"))
+        amount = table.column("weight").to_numpy()
+        x = unpack(q, dim)
+        r = _reduced(x, shared.value[0])
+        weight = amount.astype(np.float32)
+        first = (turn << 54) + (int(cell) << 22)
+        kind, rows, local = [], [], []
+        names, sizes, totals, toward = [], [], [], []  # weights and sums of the members at home, directions of all members
+        for part, own, both in _cut_cell(r, weight, home, s):
+            label, core = local_clusters(r[part], weight[part], s)
+            name = np.where(label >= 0, first + label.astype(np.int64), -1)
+            for which, k in ((own & (label >= 0), _MEMBER), (own & (label < 0), _OTHER), (core & (several[part] | both), _SHARED)):
+                at = np.flatnonzero(which)
+                kind.append(np.full(len(at), k, dtype=np.int32))
+                rows.append(part[at])
+                local.append(name[at])
+            count = int(label.max(initial=-1)) + 1
+            if count:
+                total = np.zeros((2, count, dim))
+                for i, which in enumerate((own & (label >= 0), label >= 0)):
+                    mine = np.flatnonzero(which)
+                    np.add.at(total[i], label[mine], x[part[mine]] * weight[part[mine], None])
+                at_home = np.flatnonzero(own & (label >= 0))
+                names.append(first + np.arange(count))
+                sizes.append(np.bincount(label[at_home], amount[part[at_home]], count).astype(np.int64))
+                totals.append(total[0])
+                toward.append((total[1] / np.maximum(np.linalg.norm(total[1], axis=1, keepdims=True), 1e-9)).astype(np.float32))
+            first += count
+        kind, rows, local = (np.concatenate(v) for v in (kind, rows, local))
+        n = len(kind)
+        sums = np.concatenate(totals) if totals else np.zeros((0, dim))
+        names = np.concatenate(names) if names else np.zeros(0, np.int64)
+        m = len(names)
+        with_q = kind != _SHARED
+        return pa.table(
+            {
+                "kind": pa.array(np.r_[kind, np.full(m, _LOCAL)].astype(np.int32)),
+                "h": pa.array(np.r_[h[rows], np.zeros(m, np.int64)], pa.int64(), mask=np.r_[np.zeros(n, bool), np.ones(m, bool)]),
+                "cell": pa.array(np.full(n + m, cell, dtype=np.int32)),
+                "local": pa.array(np.r_[local, names].astype(np.int64)),
+                "weight": pa.array(np.r_[amount[rows], np.concatenate(sizes) if sizes else np.zeros(0, np.int64)].astype(np.int64)),
+                "q": pa.array([q[i] if w else None for i, w in zip(rows.tolist(), with_q.tolist())] + [d.tobytes() for t in toward for d in t], pa.binary()),
+                "v": pa.array([None] * n + list(sums), pa.list_(pa.float64())),
+            }
+        )
+
+    return routed.groupBy("cell").applyInArrow(cluster, _CELL_ROW)
+
+
+def _merge(cells: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(local, cluster)``: local clusters joined through shared core points.
+
+    Chance may put single points of one cluster into another's neighbourhood,
+    so a shared core point joins only local clusters of about one direction.
+    """
+    locals_ = cells.where(F.col("kind") == _LOCAL).select("local", "q")
+    by_point = cells.where(F.col("kind") == _SHARED).groupBy("h").agg(F.array_sort(F.collect_set("local")).alias("all")).where(F.size("all") > 1)
+    pairs = by_point.select(F.explode(F.expr("flatten(transform(all, a -> transform(filter(all, b -> b > a), b -> struct(a as a, b as b))))")).alias("p"))  # at most replicas ** 2 a point
+    common = pairs.select("p.a", "p.b").distinct()
+    both = common.join(locals_.toDF("a", "qa"), "a").join(locals_.toDF("b", "qb"), "b")
 
-    def cluster(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        label, core = local_clusters(unpack(pdf["r"].tolist(), reduced), pdf["weight"].to_numpy().astype(np.float32), s)
-        name = (np.int64(key[0]) << 32) + (np.int64(key[1]) << 16)
-        return pd.DataFrame({"id": pdf["id"].to_numpy()[core], "local": name + label[core]})
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.float32).reshape(-1, dim) for c in (2, 3))
+                keep = pa.array((x * y).sum(1) >= s.link_cosine)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["src", "dst"])
 
-    return dealt.groupBy("cell", "block").applyInPandas(cluster, "id bigint, local bigint")
+    links = both.select("a", "b", "qa", "qb").mapInArrow(agree, "src bigint, dst bigint")
+    groups = connected_components(links).toDF("local", "cluster")
+    return locals_.select("local").join(groups, "local", "left").select("local", F.coalesce("cluster", "local").alias("cluster"))
 
 
-def _merge(cores: DataFrame) -> DataFrame:
-    """``(id, cluster)``: local clusters joined through shared core points.
+def _directions(cells: DataFrame, merged: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(cluster, n, direction)``: size and mean direction of the members of the local clusters of each cluster.
 
-    Two local clusters are one when they share a tenth of the smaller one's
-    core points, so that a single stray point joins nothing.
+    Those with less than half of ``least_members`` are chance; their members are offered to others.
     """
-    sizes = cores.groupBy("local").count()
-    by_point = cores.groupBy("id").agg(F.array_sort(F.collect_set("local")).alias("all")).where(F.size("all") > 1)
-    pairs = by_point.select(F.explode(F.expr("flatten(transform(all, a -> transform(filter(all, b -> b > a), b -> struct(a as a, b as b))))")).alias("p"))
-    shared = pairs.groupBy("p.a", "p.b").count()
-    small = shared.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    links = small.where(F.col("count") * 10 >= F.least("na", "nb")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(links).toDF("local", "cluster")
-    return cores.join(groups, "local", "left").select("id", F.coalesce("cluster", "local").alias("cluster"))
+    sums = cells.where(F.col("kind") == _LOCAL).select("local", "weight", "v").join(merged, "local").groupBy("cluster").agg(
+        F.sum("weight").alias("n"), *[F.sum(F.col("v")[j]).alias(f"x{j}") for j in range(dim)]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack([batch.column(j + 2).to_numpy(zero_copy_only=False) for j in range(dim)], axis=1)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+                d = pa.array([row.tobytes() for row in v.astype(np.float32)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), d], names=["cluster", "n", "direction"])
 
+    return sums.where((F.col("n") > 0) & (2 * F.col("n") >= s.least_members)).mapInArrow(run, "cluster bigint, n bigint, direction binary")
 
-def _sums(packed: DataFrame, centres: np.ndarray, least: float, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the members' unit vectors, members) of each centre, members being the vectors close to it."""
-    shared = packed.sparkSession.sparkContext.broadcast(centres)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        sums, members = np.zeros((len(c), dim)), np.zeros(len(c), dtype=np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = unpack(batch["q"].tolist(), dim)
-            for i in range(0, len(x), 4096):
-                part = x[i : i + 4096]
-                sims = part @ c.T
-                best = sims.argmax(1)
-                ok = np.flatnonzero(sims[np.arange(len(part)), best] >= least)
-                np.add.at(sums, best[ok], part[ok])
-                members += np.bincount(best[ok], minlength=len(c))
-        used = np.flatnonzero(members)
-        yield pd.DataFrame({"c": used, "n": members[used], "v": list(sums[used])})
-
-    rows = packed.select("q").mapInPandas(run, "c int, n bigint, v array<double>")
-    total = rows.select("c", "n", F.posexplode("v").alias("j", "x")).groupBy("c", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    got = total.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("j", "x"))).alias("v"), F.max("n").alias("n")).toPandas()
-    sums, members = np.zeros((len(centres), dim)), np.zeros(len(centres), dtype=np.int64)
-    for c, v, n in got.itertuples(index=False):
-        sums[c] = [x["x"] for x in v]
-        members[c] = n
-    return sums, members
-
-
-def _distinct_centres(centres: np.ndarray, members: np.ndarray, same: float) -> np.ndarray:
-    """The larger of any two centres that point the same way."""
-    order = np.argsort(-members, kind="stable")
-    kept: list[int] = []
-    for i in order.tolist():
-        if not kept or (centres[kept] @ centres[i]).max() < same:
-            kept.append(i)
-    return centres[kept]
-
-
-def _settle(packed: DataFrame, centres: np.ndarray, dim: int, s: ClusterSettings, rounds: int) -> np.ndarray:
-    """Centres moved to the mean of their members, until memberships settle; too small ones are gone."""
-    for turn in range(rounds):
-        if not len(centres):
-            break
-        last = turn == rounds - 1
-        sums, members = _sums(packed, centres, s.member_cosine - (0 if last or turn else 0.05), dim)
-        ok = members >= (s.least_members if last else max(s.least_members // 2, 2))
-        norm = np.linalg.norm(sums, axis=1, keepdims=True)
-        fresh = (sums / np.maximum(norm, 1e-9)).astype(np.float32)[ok]
-        moved = float((fresh * centres[ok]).sum(1).min()) if ok.any() else 1.0
-        centres = _distinct_centres(fresh, members[ok], s.same_cosine)
-        if turn and moved > 0.999999 and len(centres) == len(fresh) and (members[ok] >= s.least_members).all():
-            break
-    return centres
-
-
-def _assign(packed: DataFrame, centres: np.ndarray, least: float, dim: int) -> DataFrame:
-    """``(id, q, cluster, similarity)``; cluster is null for vectors close to no centre."""
-    shared = packed.sparkSession.sparkContext.broadcast(centres)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
+def _stray(in_cells: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(cluster)``: those that point almost like one of a cell they share that is much larger, or older."""
+
+    def run(table: pa.Table) -> pa.Table:
+        d = np.frombuffer(b"".join(table.column("direction").to_pylist()), dtype=np.float32).reshape(-1, dim)
+        n, old = table.column("n").to_numpy(), table.column("old").to_numpy(zero_copy_only=False)
+        gone = np.zeros(len(n), dtype=bool)
+        for start in range(0, len(n), 1024):
+            part = slice(start, start + 1024)
+            above = old[None, :] | (n[None, :] >= s.stray_ratio * n[part, None])
+            gone[part] = ((d[part] @ d.T >= s.apart_cosine) & above).any(1) & ~old[part]
+        return pa.table({"cluster": table.column("cluster").filter(pa.array(gone))})
+
+    return in_cells.groupBy("cell").applyInArrow(run, "cluster bigint").distinct()
+
+
+def _checked(members: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(h, cluster, similarity, q, weight)``: the cluster of those whose vector is close to its direction, the vector of all others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            x = unpack(batch["q"].tolist(), dim)
-            best = nearest(x, c) if len(c) else np.zeros(len(x), np.int64)
-            sims = (x * c[best]).sum(1) if len(c) else np.full(len(x), -1.0)
-            out = batch[["id", "q"]].copy()
-            out["cluster"] = pd.array(np.where(sims >= least, best, -1), dtype="Int64")
-            out["similarity"] = sims.astype(float)
-            yield out
+            q, d = batch.column(2), batch.column(3)
+            has = np.asarray(d.is_valid())
+            sims = np.full(len(q), -2.0)
+            toward = np.frombuffer(b"".join(d.drop_null().to_pylist()), dtype=np.float32).reshape(-1, dim)
+            sims[has] = (unpack(q.filter(pa.array(has)).to_pylist(), dim) * toward).sum(1)
+            out = sims < s.member_cosine
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(batch.column(1).to_numpy(zero_copy_only=False), pa.int64(), mask=out, from_pandas=True),
+                    pa.array(sims, pa.float64(), mask=out),
+                    pc.if_else(pa.array(out), q, pa.scalar(None, pa.binary())),
+                    batch.column(4),
+                ],
+                names=["h", "cluster", "similarity", "q", "weight"],
+            )
+
+    return members.select("h", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "q", "direction", "weight").mapInArrow(
+        run, "h bigint, cluster bigint, similarity double, q binary, weight bigint"
+    )
 
-    rows = packed.select("id", "q").mapInPandas(run, "id bigint, q binary, cluster bigint, similarity double")
-    return rows.withColumn("cluster", F.when(F.col("cluster") >= 0, F.col("cluster")))
+
+def _offered(others: DataFrame, in_cells: DataFrame, axes: np.ndarray, router: CellRouter, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(h, cluster, similarity)``: for vectors without a local cluster at home, the best cluster of the cells around them."""
+    shared = others.sparkSession.sparkContext.broadcast((axes, router))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        axes, router = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 4096):
+                batch = whole.slice(start, 4096)
+                cells, _ = router.top(_reduced(unpack(batch.column(1).to_pylist(), dim), axes), s.offers)
+                row, col = np.nonzero(cells >= 0)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[row, col].astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take)], names=["cell", "h", "q"])
+
+    routed = others.select("h", "q").mapInArrow(route, "cell int, h bigint, q binary")
+
+    def choose(left: pa.Table, right: pa.Table) -> pa.Table:
+        empty = {"h": pa.array([], pa.int64()), "cluster": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())}
+        if not left.num_rows or not right.num_rows:
+            return pa.table(empty)
+        d = np.frombuffer(b"".join(right.column("direction").to_pylist()), dtype=np.float32).reshape(-1, dim)
+        names, h = right.column("cluster").to_numpy(), left.column("h").to_numpy()
+        found = []
+        for start in range(0, left.num_rows, 8192):
+            sims = unpack(left.column("q").slice(start, 8192).to_pylist(), dim) @ d.T
+            best = sims.argmax(1)
+            top = sims[np.arange(len(best)), best]
+            ok = np.flatnonzero(top >= s.member_cosine)
+            found.append((h[start + ok], names[best[ok]], top[ok].astype(np.float64)))
+        return pa.table(dict(zip(empty, (pa.array(np.concatenate(v)) for v in zip(*found)))))
+
+    each = routed.groupBy("cell").cogroup(in_cells.groupBy("cell")).applyInArrow(choose, "h bigint, cluster bigint, similarity double")
+    best = each.groupBy("h").agg(F.max(F.struct("similarity", "cluster")).alias("best"))
+    return best.select("h", "best.cluster", "best.similarity")
+
+
+def _cells_of(directions: DataFrame, axes: np.ndarray, router: CellRouter, dim: int, s: ClusterSettings) -> DataFrame:
+    """``(cell, cluster, n, direction, old)``: earlier clusters in the cells around their directions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                d = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.float32).reshape(-1, dim)
+                cells, _ = router.top(_reduced(d, axes), s.offers)
+                row, col = np.nonzero(cells >= 0)
+                own = [c.take(pa.array(row)) for c in batch.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(cells[row, col].astype(np.int32)), *own, pa.array(np.ones(len(row), bool))], names=["cell", "cluster", "n", "direction", "old"])
+
+    return directions.select("cluster", "n", "direction").mapInArrow(run, "cell int, cluster bigint, n bigint, direction binary, old boolean")
+
+
+def _one_turn(
+    points: DataFrame, left: int, turn: int, earlier: DataFrame | None, axes: np.ndarray, dim: int, s: ClusterSettings
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members: h, cluster, similarity; points without a cluster; clusters) of one pass over the cells of ``points``."""
+    wanted = -(-left // s.cell_rows)
+    sample = _reduced(sample_vectors(points, max(s.sample_rows, s.sample_per_cell * wanted), left, dim, f"cells {turn}", "h"), axes)
+    router = CellRouter(tree_kmeans(sample, wanted, seed=turn))
+    cells = cut_lineage(_local_pass(points, axes, router, turn, dim, s))
+    merged = cut_lineage(_merge(cells, dim, s))
+    directions = cut_lineage(_directions(cells, merged, dim, s))
+    places = cells.where(F.col("kind") == _LOCAL).select("cell", "local").join(merged, "local").select("cell", "cluster").distinct()
+    in_cells = places.join(directions, "cluster").select("cell", "cluster", "n", "direction", F.lit(False).alias("old"))
+    if earlier is not None:
+        in_cells = in_cells.unionByName(_cells_of(earlier, axes, router, dim, s))
+    in_cells = cut_lineage(in_cells)
+    stray = cut_lineage(_stray(in_cells, dim, s))
+    in_cells, directions = in_cells.join(stray, "cluster", "left_anti"), directions.join(stray, "cluster", "left_anti")
+    known = merged.join(directions, "cluster").select("local", "cluster", "direction")
+    checked = cut_lineage(_checked(cells.where(F.col("kind") == _MEMBER).select("h", "local", "q", "weight").join(known, "local", "left"), dim, s))
+    others = cells.where(F.col("kind") == _OTHER).unionByName(checked.where("cluster is null"), allowMissingColumns=True).select("h", "q", "weight")
+    around = cut_lineage(_offered(others, in_cells, axes, router, dim, s))
+    members = checked.where("cluster is not null").select("h", "cluster", "similarity").unionByName(around)
+    return members, others.join(around.select("h"), "h", "left_anti"), directions
 
 
 def density_clusters(
     df: DataFrame, id_col: str, vector_col: str, dim: int = 64, settings: ClusterSettings = ClusterSettings()
 ) -> DataFrame:
-    """``(id, cluster, similarity)`` of every usable vector; cluster is null where there is none.
+    """``(id, cluster, similarity)`` of every usable vector; cluster and similarity are null where there is none.
 
-    ``similarity`` is the cosine to the nearest cluster's mean direction.
-    Unusable vectors are left out; an id counts once; equal vectors count each.
+    ``similarity`` is the cosine to the cluster's mean direction.  Unusable
+    vectors and null ids are left out; an id counts once, and of different
+    vectors of one id one that is in a cluster counts; equal vectors of
+    different ids are one point with their number as weight.
     """
     s = settings
-    packed = cut_lineage(packed_vectors(df, id_col, vector_col, dim))
-    total = packed.count()
-    centres = np.zeros((0, dim), dtype=np.float32)
-    if total:
-        axes = _axes(_covariance(packed, dim), s.kept_variance)
-        rest, left = packed, total
-        for turn in range(s.turns):
-            if left < s.least_members:
+    rows = cut_lineage(packed_rows(df, id_col, vector_col, dim))
+    total = rows.count()
+    ids = rows.select("id", "h")
+    clustered = clusters = None
+    if total >= s.least_members:
+        axes = _axes(_covariance(rows, dim), s.kept_variance)
+        points = rows.groupBy("h").agg(F.min("q").alias("q"), F.count("*").alias("weight"))
+        turn, left = 0, total
+        while left >= s.least_members:
+            members, rest, directions = _one_turn(points, left, turn, clusters, axes, dim, s)
+            of_ids = ids.join(members, "h").groupBy("id").agg(F.max(F.struct("similarity", "cluster")).alias("best")).select("id", "best.cluster", "best.similarity")
+            found = cut_lineage(of_ids)
+            # clusters of earlier turns may still gain members here
+            large = found.groupBy("cluster").count().where(F.col("count") >= s.least_members).select("cluster")
+            fresh = cut_lineage(directions.join(large, "cluster", "left_semi"))
+            clusters = fresh if clusters is None else clusters.unionByName(fresh)
+            found = found.join(clusters.select("cluster"), "cluster", "left_semi").select("id", "cluster", "similarity")
+            clustered = found if clustered is None else clustered.unionByName(found)
+            if fresh.limit(1).count() == 0:
                 break
-            # equal vectors are one point with their number as weight
-            points = rest.groupBy("q").agg(F.min("id").alias("id"), F.count("*").alias("weight"))
-            sample = sample_vectors(rest, s.sample_rows, left, dim, f"cells {turn}") @ axes
-            sample /= np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-9)
-            cells = spherical_kmeans(sample, max(1, -(-left // s.cell_rows)), seed=turn)
-            merged = _merge(cut_lineage(_local_pass(points, axes, cells, left, dim, s)))
-            found = _first_directions(rest, merged, dim)
-            every = np.vstack([centres, found]) if len(found) else centres
-            before = len(centres)
-            centres = _settle(packed, every, dim, s, 4)
-            if turn and len(centres) <= before:
-                break
-            if turn < s.turns - 1:
-                rest = cut_lineage(_assign(packed, centres, s.member_cosine, dim).where("cluster is null").select("id", "q"))
-                left = rest.count()
-    if len(centres):
-        centres = centres[_sums(packed, centres, s.member_cosine, dim)[1] >= s.least_members]
-    return _assign(packed, centres, s.member_cosine, dim).drop("q")
-
-
-def _first_directions(packed: DataFrame, merged: DataFrame, dim: int) -> np.ndarray:
-    """Mean direction of the core points of each merged cluster, largest clusters first."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        sizes: dict[int, int] = {}
-        for batch in batches:
-            if not len(batch):
-                continue
-            x = unpack(batch["q"].tolist(), dim)
-            labels, code = np.unique(batch["cluster"].to_numpy(), return_inverse=True)
-            own = np.zeros((len(labels), dim))
-            np.add.at(own, code, x)
-            for k, label in enumerate(labels.tolist()):
-                sums[label] = sums.get(label, 0) + own[k]
-                sizes[label] = sizes.get(label, 0) + int((code == k).sum())
-        if sums:
-            yield pd.DataFrame({"cluster": list(sums), "n": [sizes[k] for k in sums], "v": list(sums.values())})
-
-    rows = packed.join(merged, "id").select("cluster", "q").mapInPandas(run, "cluster bigint, n bigint, v array<double>")
-    total = rows.select("cluster", "n", F.posexplode("v").alias("j", "x")).groupBy("cluster", "j").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-    got = total.groupBy("cluster").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("j", "x"))).alias("v"))
-    got = got.where("n >= 3").toPandas()
-    if not len(got):
-        return np.zeros((0, dim), dtype=np.float32)
-    v = np.array([[x["x"] for x in row] for row in got["v"]])
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    return _distinct_centres(v.astype(np.float32), got["n"].to_numpy(), 0.9)
+            points = cut_lineage(rest)
+            left = points.count()
+            turn += 1
+    if clustered is None:
+        return ids.select("id").distinct().select("id", F.lit(None).cast("bigint").alias("cluster"), F.lit(None).cast("double").alias("similarity"))
+    one = clustered.groupBy("id").agg(F.max(F.struct("similarity", "cluster")).alias("best")).select("id", "best.cluster", "best.similarity")
+    return ids.select("id").distinct().join(one, "id", "left")
 
 
 def describe_clusters(members: DataFrame, typical: int = 5) -> DataFrame:

@@ -1,9 +1,12 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from loomwright.llm import clusters
 from loomwright.llm.clusters import ClusterSettings, density_clusters, describe_clusters
 from loomwright.llm.neighbours import CentroidGraph, SearchSettings, most_similar, recall_of, similar_pairs
-from loomwright.llm.vectors import spherical_kmeans
+from loomwright.llm.vectors import CellRouter, spherical_kmeans, tree_kmeans
 
 DIM = 16
 
@@ -89,13 +92,41 @@ def test_clusters_by_definition(table, data):
     assert len(info) == 4 and all(len(r.medoids) == 5 for r in info.values())
 
 
-def test_hot_cells_are_dealt_out(table, data):
-    settings = ClusterSettings(cell_rows=1000, core_neighbours=4, most_points=150, anchors=40)
+def test_large_cells_are_cut_again(table, data):
+    settings = ClusterSettings(cell_rows=1000, core_neighbours=4, most_points=150)
     label = {r.id: r.cluster for r in density_clusters(table, "id", "v", DIM, settings).collect()}
     own = {label[i] for i in np.flatnonzero(data[1] == 0) if data[0][i, 0] > 0.75}
     assert len(own) == 1 and None not in own
 
 
+def test_shared_core_points_join_the_cells(spark, monkeypatch):
+    """One cluster over many cells comes out whole, and only because its local clusters are merged."""
+    rng = np.random.default_rng(8)
+    x = _unit(np.vstack([np.eye(DIM)[0] + 0.2 * rng.normal(size=(1500, DIM)), np.eye(DIM)[1] + 0.1 * rng.normal(size=(80, DIM))]))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, v array<float>")
+    settings = ClusterSettings(cell_rows=150, margin_ratio=1.3, kept_variance=0.95)
+
+    def rows():
+        got = {r.id: r.cluster for r in density_clusters(df, "id", "v", DIM, settings).collect() if r.cluster is not None}
+        return got, {got[i] for i in range(1500) if i in got}
+
+    whole, names = rows()
+    assert len(names) == 1 and len(whole) > 1500 * 0.9
+    monkeypatch.setattr(clusters, "_merge", lambda cells, dim, s: cells.where("kind = 3").select("local", F.col("local").alias("cluster")))
+    alone, names = rows()
+    assert len(names) > 1 and alone != whole
+
+
+def test_router_in_two_levels():
+    rng = np.random.default_rng(3)
+    centres = tree_kmeans(_unit(rng.normal(size=(6000, DIM))).astype(np.float32), 600, direct=64)
+    x = _unit(rng.normal(size=(500, DIM))).astype(np.float32)
+    ids, sims = CellRouter(centres, direct=100).top(x, 3)
+    assert 400 < len(centres) < 1200
+    assert (ids[:, 0] == (x @ centres.T).argmax(1)).mean() > 0.95
+    assert np.allclose(sims, np.take_along_axis(x @ centres.T, ids, 1), atol=1e-5)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id bigint, v array<float>")
     assert most_similar(empty, "id", "v", DIM).count() == 0
