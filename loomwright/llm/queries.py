@@ -14,7 +14,7 @@ from loomwright.llm.mixing import mix_shares, mix_to_targets, realise, source_to
 from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, near_duplicate_links
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
-from loomwright.llm.seen import seen_before, wrong_answers
+from loomwright.llm.seen import seen_before, state_size, wrong_answers
 from loomwright.llm.splitting import split_oversized
 from loomwright.llm.token_budget import host_of, token_budget
 from loomwright.llm.token_ids import encode_corpus, with_token_counts
@@ -53,17 +53,15 @@ def p2_recall(spark: SparkSession, folder: str) -> DataFrame:
     return recall_of(most_similar(table, "instr_id", "__embedding"), table, "instr_id", "__embedding")
 
 
-def _judged_arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    return seen_before(_table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))
-
-
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _judged_arrivals(spark, folder).where("seen").select("arrival_no")
+    return seen_before(_table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))[0].where("seen").select("arrival_no")
 
 
 def p3_wrong_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """How many answers are wrong, by the exact answer."""
-    return wrong_answers(_judged_arrivals(spark, folder), _table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents"))
+    """How many answers are wrong, by the exact answer, and what the answers were read from."""
+    arrivals, earlier = _table(spark, folder, "arrivals"), _table(spark, folder, "seen_contents")
+    judged, state = seen_before(arrivals, earlier)
+    return wrong_answers(judged, arrivals, earlier).join(state_size(state))  # one row each
 
 
 P3_FOUND_SQL = """

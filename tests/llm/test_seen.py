@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm.seen import MinimalPerfectHash, SeenKeys, seen_before, wrong_answers
+from loomwright.llm.seen import MinimalPerfectHash, SealedSegment, SeenKeys, seal_earlier, seen_before, seen_in_batch, state_size, wrong_answers
 
 
 @settings(max_examples=60, deadline=None)
@@ -44,22 +44,55 @@ def test_against_brute_force_with_a_hot_key(spark):
     earlier = [("k1",), ("k1",), (None,), ("K7 ",)]
     df = spark.createDataFrame(rows, "arrival_no bigint, content string, seen string").repartition(5)
     old = spark.createDataFrame(earlier, "content string")
-    judged = seen_before(df, old, seal_keys=50, partitions=3)
+    judged, state = seen_before(df, old, seal_keys=50, parts=3)
     got = {r.arrival_no for r in judged.where("seen").collect()}
     assert got == _brute(rows, earlier)
     assert judged.count() == len(rows)
     assert wrong_answers(judged, df, old).first()[:3] == (3000, 0, 0)
+    size = state_size(state).first()
+    assert size.segments > 3 and size.sealed_keys + size.exact_keys == len({k for _, k, _ in rows if k is not None} | {"k1", "K7 "})
+
+
+def test_state_passes_from_batch_to_batch(spark):
+    rng = random.Random(9)
+    rows = [(n, f"k{rng.randrange(900)}") for n in range(2500)]
+    old = spark.createDataFrame([("k5",), (None,)], "content string")
+    state, got = seal_earlier(old, parts=2, seal_keys=40), set()
+    for start in range(0, 2500, 500):
+        batch = spark.createDataFrame(rows[start : start + 500], "arrival_no bigint, content string")
+        judged, state = seen_in_batch(batch, state, seal_keys=40)
+        got |= {r.arrival_no for r in judged.where("seen").collect()}
+    assert got == _brute(rows, [("k5",), (None,)])
+    assert 2 <= state_size(state).first().segments < 40
+
+
+def test_segments_survive_writing_and_grow_slowly():
+    rng = np.random.default_rng(6)
+    keys, prints = (rng.integers(0, 2**63, 60_000).astype(np.uint64) for _ in range(2))
+    state = SeenKeys(seal_keys=100)
+    state.judge(keys, prints)
+    assert len(state.segments) < 40 and len(state.recent()[0]) <= 0.3 * 60_000
+    again = [SealedSegment.from_bytes(x.to_bytes()) for x in state.segments]
+    for a, b in zip(state.segments, again):
+        assert (a.contains(keys, prints) == b.contains(keys, prints)).all()
+
+
+def test_one_key_with_two_prints():
+    keys, prints = np.array([7, 7, 7, 8], dtype=np.uint64), np.array([1, 2, 1, 1], dtype=np.uint64)
+    state = SeenKeys(seal_keys=2)
+    assert state.judge(keys, prints).tolist() == [False, False, True, False]
+    assert state.judge(keys, prints).all()
 
 
 def test_short_fingerprints_are_measured(spark):
     df = spark.range(4000).selectExpr("id as arrival_no", "concat('k', id) as content")
     old = spark.createDataFrame([("z",)], "content string")
-    judged = seen_before(df, old, fingerprint_bits=4, seal_keys=200, partitions=2)
+    judged, _ = seen_before(df, old, fingerprint_bits=4, seal_keys=200, parts=2)
     row = wrong_answers(judged, df, old).first()
     assert row.wrongly_new == 0 and row.wrongly_seen > 0 and row.wrong_rate == round(row.wrongly_seen / 4000, 9)
 
 
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "arrival_no bigint, content string")
-    assert seen_before(empty, empty.select("content")).count() == 0
-    assert seen_before(spark.createDataFrame([(1, "a")], "arrival_no bigint, content string")).first().seen is False
+    assert seen_before(empty, empty.select("content"))[0].count() == 0
+    assert seen_before(spark.createDataFrame([(1, "a")], "arrival_no bigint, content string"))[0].first().seen is False
