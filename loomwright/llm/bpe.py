@@ -265,10 +265,10 @@ class BytePairEncoder:
         get = self._lookup(cut).__getitem__
         return np.array([sum(map(len, map(get, chunks))) for chunks in cut], dtype=np.int64) >> 2
 
-    def chunk_counts(self, chunks: list[str]) -> np.ndarray:
-        """Tokens of each chunk."""
-        get = self._lookup([chunks]).__getitem__
-        return np.fromiter(map(len, map(get, chunks)), dtype=np.int64, count=len(chunks)) >> 2
+    def chunk_counts(self, batch: Sequence[list[str]]) -> list[np.ndarray]:
+        """Tokens of each chunk of each list."""
+        get = self._lookup(batch).__getitem__
+        return [np.fromiter(map(len, map(get, chunks)), dtype=np.int64, count=len(chunks)) >> 2 for chunks in batch]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()

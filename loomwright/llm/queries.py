@@ -15,7 +15,7 @@ from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, ne
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, state_size, wrong_answers
-from loomwright.llm.splitting import split_oversized
+from loomwright.llm.splitting import rebuilt, split_oversized
 from loomwright.llm.token_budget import host_of, token_budget
 from loomwright.llm.token_ids import encode_corpus, with_token_counts
 from loomwright.plans.lineage import cut_lineage
@@ -160,9 +160,18 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_oversized(_table(spark, folder, "documents"), _table(spark, folder, "split_limits"))
 
 
+def p10_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """A digest of every text, put together again from its pieces where it has some: nothing is lost, doubled or moved."""
+    documents = _table(spark, folder, "documents")
+    return rebuilt(documents, p10_pieces(spark, folder)).select("doc_id", F.md5("text").alias("digest"))
+
+
+P10_REBUILT_SQL = "SELECT doc_id, md5(text) AS digest FROM documents"
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p4_budget, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids, p9_mix, p9_shares, p9_temperature, p10_pieces)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p4_budget, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids, p9_mix, p9_shares, p9_temperature, p10_pieces, p10_rebuilt)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND_SQL}
+    return {"p3_found": P3_FOUND_SQL, "p10_rebuilt": P10_REBUILT_SQL}

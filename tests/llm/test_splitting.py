@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from loomwright.llm.splitting import HALO_CHARS, range_chunks, split_oversized
+from loomwright.llm.splitting import GRID_CHARS, LEAD_CHARS, TAIL_CHARS, atoms, range_chunks, rebuilt, split_oversized
 from loomwright.llm.bpe import _CHUNKS
 from loomwright.llm.tokenizer import encoder
 
@@ -48,18 +49,35 @@ def test_pieces_cover_texts_and_keep_the_limit(spark, range_chars):
     assert any(r.shared_tokens > 0 for r in got[1])
 
 
-def test_ranges_agree_on_their_chunks():
-    for text in (t for t in _texts().values() if t):
-        size = 500
-        out = []
-        for a in range(0, len(text), size):
-            b = min(a + size, len(text))
-            low = max(a - 1, 0)
-            view = text[low : low + size + HALO_CHARS + 2]
-            out += range_chunks(view, a - low, b - low, b == len(text))
-        assert "".join(out) == text
-        if max(map(len, _CHUNKS(text))) < HALO_CHARS:
-            assert out == _CHUNKS(text)
+def test_the_table_does_not_depend_on_the_ranges():
+    bpe = encoder()
+    texts = [t for t in _texts().values() if t]
+    texts += ["x" * (GRID_CHARS - 3) + " end. " * 900, ("w" * 3000 + "\n\n") * 5 + "a b. " * 700, " " * 5000 + "z. " * 900, "y" * GRID_CHARS + " " + "q" * (2 * GRID_CHARS)]
+    for text in texts:
+        tables = []
+        for size in (GRID_CHARS, 2 * GRID_CHARS, 64 * GRID_CHARS):
+            out, cut = [], []
+            for a in range(0, len(text), size):
+                b = min(a + size, len(text))
+                low = max(a - LEAD_CHARS, 0)
+                view = text[low : b + TAIL_CHARS]
+                first, chunks = range_chunks(view, a - low, b - low, a, bpe, b == len(text))
+                cut += chunks
+                out.append(atoms(view, first, chunks, bpe.chunk_counts([chunks])[0], bpe, 64))
+            assert "".join(cut) == text
+            if max(map(len, _CHUNKS(text))) <= GRID_CHARS:
+                assert cut == _CHUNKS(text)
+            tables.append([np.concatenate(v).tolist() for v in zip(*out)])
+        assert tables[0] == tables[1] == tables[2]
+
+
+def test_same_pieces_for_every_range_size(spark):
+    df = spark.createDataFrame([(i, t, "s") for i, t in _texts().items()], "doc_id bigint, text string, source string")
+    limits = spark.createDataFrame([("s", 64, 8)], "source string, max_tokens int, overlap_tokens int")
+    got = [sorted(map(tuple, split_oversized(df, limits, range_chars=n).collect())) for n in (1_000_000, GRID_CHARS, 3 * GRID_CHARS)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 100
+    whole = {r.doc_id: r.text for r in rebuilt(df, split_oversized(df, limits, range_chars=GRID_CHARS)).collect()}
+    assert whole == _texts()
 
 
 def test_empty_table(spark):
