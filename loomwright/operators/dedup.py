@@ -20,12 +20,17 @@ _RUNS = re.compile(f"[{WHITESPACE}]+")
 def exact_dedup(df: DataFrame, fields: Sequence[str], order_col: str) -> DataFrame:
     """The first row, by ``order_col``, of each combination of values; nulls are equal.
 
-    The first is found by a map-side minimum over hashes and not by a window,
-    so a value that most rows share is no hot task.
+    Rows without an order come after all others; of rows with an equal order the
+    one with the least hash stays, so exactly one row of each combination is
+    kept.  The first is found by a map-side minimum over hashes and not by a
+    window, so a value that most rows share is no hot task.
     """
-    key = [F.xxhash64(F.lit(seed), *[F.struct(F.col(f"`{f}`").isNull(), F.col(f"`{f}`")) for f in fields]).alias(f"__k{seed}") for seed in (1, 2)]
-    first = df.select(*key, F.col(order_col).alias("__first")).groupBy("__k1", "__k2").agg(F.min("__first").alias("__first"))
-    return df.join(first.select(F.col("__first").alias(order_col)), order_col, "left_semi")
+    column = {c: F.col(f"`{c}`") for c in df.columns}
+    key = [F.xxhash64(F.lit(seed), *[F.struct(column[f].isNull(), column[f]) for f in fields]).alias(f"__k{seed}") for seed in (1, 2)]
+    plain = [column[f.name] for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    order = F.struct(column[order_col].isNull(), column[order_col], F.xxhash64(*plain))
+    first = df.groupBy(*key).agg(F.min_by(F.struct(*column.values()), order).alias("__row"))
+    return first.select(*[F.col("__row").getField(c).alias(c) for c in df.columns])
 
 
 _MASK = np.uint64(0x9E3779B97F4A7C15)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseMatrix
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwright.functions.vectors import dot, literal, similarity
+from loomwright.operators.frame import with_row_id
 from loomwright.plans.components import connected_components
 from loomwright.plans.lineage import cut_lineage
 
@@ -35,17 +37,33 @@ def with_center(df: DataFrame, centers: DataFrame, cluster_col: str, vector_col:
     return joined.withColumn("center_score", similarity(metric)(F.col(vector_col), F.col("center"))).drop("center")
 
 
-def nearest_class(df: DataFrame, classes: DataFrame, vector_col: str, id_col: str, metric: str = "dot") -> DataFrame:
+def nearest_class(df: DataFrame, classes: DataFrame, vector_col: str, id_col: str, metric: str = "dot", block: int = 2_048) -> DataFrame:
     """``(id, label)``: the class (label, center) of the highest similarity, the least label of equal ones.
 
-    The classes are a short list; they are packed into one row and travel with the plan.
+    Up to ``block`` classes are packed into one row that travels with the plan;
+    more go in blocks, of which each row keeps its best.
     """
-    packed = classes.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("classes"))
     score = similarity(metric)
-    scored = df.crossJoin(F.broadcast(packed)).select(  # one row on the right
-        F.col(id_col), F.transform("classes", lambda c: F.struct((-score(F.col(vector_col), c["center"])).alias("s"), c["label"].alias("label"))).alias("all")
-    )
-    return scored.select(id_col, F.array_min("all")["label"].alias("label"))
+    count = classes.count()
+    blocks = max(1, -(-count // block))
+    best = None
+    for number in range(blocks):
+        own = classes if blocks == 1 else classes.where(F.pmod(F.xxhash64("label"), F.lit(blocks)) == number)
+        packed = own.agg(F.array_sort(F.collect_list(F.struct("label", "center"))).alias("classes"))
+        scored = df.select(id_col, vector_col).join(F.broadcast(packed)).select(  # one row on the right
+            F.col(id_col), F.array_min(F.transform("classes", lambda c: F.struct((-score(F.col(vector_col), c["center"])).alias("s"), c["label"].alias("label")))).alias("best")
+        )
+        best = scored if best is None else best.unionByName(scored)
+    if blocks > 1:
+        best = best.groupBy(id_col).agg(F.min("best").alias("best"))
+    return best.select(id_col, F.col("best.label").alias("label"))
+
+
+def medoids(df: DataFrame, cluster_col: str, vector_col: str, id_col: str) -> DataFrame:
+    """``(cluster, id)``: the row of each cluster most similar to its centre, the least id of equal ones."""
+    scored = with_center(df, centroids(df, cluster_col, vector_col), cluster_col, vector_col)
+    nearest = F.min_by(id_col, F.struct(-F.round("center_score", 9), F.col(id_col)))
+    return scored.where("center_score is not null").groupBy(F.col(cluster_col).alias("cluster")).agg(nearest.alias(id_col))
 
 
 def remove_cluster(df: DataFrame, cluster_col: str, cluster_id: int) -> DataFrame:
@@ -64,12 +82,137 @@ def cluster_info(df: DataFrame, cluster_col: str, vector_col: str, id_col: str,
     return ranked.select(F.col(cluster_col).alias("cluster"), "rank", id_col, *[F.left(F.col(c).cast("string"), F.lit(truncate)).alias(c) for c in context]).join(sizes, "cluster")
 
 
-def similar_pairs(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, threshold: float, metric: str = "dot") -> DataFrame:
-    """``(cluster, a, b, score)``, a < b: pairs of one cluster with a similarity above the threshold; noise left out."""
-    rows = df.where(F.col(cluster_col) >= 0).select(F.col(cluster_col).alias("cluster"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    left, right = rows.toDF("cluster", "a", "va"), rows.toDF("cluster", "b", "vb")
-    scored = left.join(right, "cluster").where("a < b").withColumn("score", similarity(metric)(F.col("va"), F.col("vb")))
-    return scored.where(F.col("score") > threshold).select("cluster", "a", "b", "score")
+def _block_pairs(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, block: int) -> DataFrame:
+    """Rows of each cluster, dealt by hash to blocks of about ``block`` rows and sent to every pair of blocks they are in.
+
+    Vectors of different lengths never meet; noise, null clusters, vectors and ids are left out.
+    """
+    rows = df.where((F.col(cluster_col) >= 0) & F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
+    rows = rows.select(F.col(cluster_col).alias("cluster"), F.size(vector_col).alias("dim"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    sizes = rows.groupBy("cluster", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
+    dealt = rows.join(sizes, ["cluster", "dim"]).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    both = dealt.select("cluster", "dim", "id", "v", "own", other)
+    return both.select("cluster", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "v")
+
+
+def _scores(table: pa.Table, metric: str) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]:
+    """(ids in order, own block of each, similarities of some rows to all) of a pair of blocks; null and NaN compare with nothing."""
+    table = table.sort_by("id")
+    column = table.column("v").combine_chunks()
+    x = np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(table.num_rows, -1)
+    if metric == "cosine":
+        size = np.linalg.norm(x, axis=1, keepdims=True)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            x = x / size
+    return table.column("id"), table.column("own").to_numpy(), lambda a, b: x[a:b] @ x.T
+
+
+def similar_pairs(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, threshold: float, metric: str = "dot", block: int = 2_000) -> DataFrame:
+    """``(cluster, a, b, score)``, a < b: pairs of one cluster with a similarity above the threshold; noise left out.
+
+    Blocks of a cluster meet pairwise as matrix products, and only the pairs
+    above the threshold leave them, so a cluster of any size is many tasks.
+    """
+    similarity(metric)
+    kinds = {c: df.schema[n].dataType.simpleString() for c, n in (("cluster", cluster_col), ("id", id_col))}
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        ids, own, scores = _scores(table, metric)
+        left, right, values = [], [], []
+        for start in range(0, len(own), 1024):
+            s = scores(start, start + 1024)
+            meets = (own[start : start + 1024, None] != own[None, :]) if low != high else np.True_
+            i, j = np.nonzero((s > threshold) & meets & (np.arange(start, start + len(s))[:, None] < np.arange(len(own))[None, :]))
+            left.append(i + start)
+            right.append(j)
+            values.append(s[i, j])
+        i, j, s = (np.concatenate(v) for v in (left, right, values))
+        return pa.table({"cluster": pa.repeat(table.column("cluster")[0], len(i)), "a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "score": pa.array(s)})
+
+    blocks = _block_pairs(df, cluster_col, vector_col, id_col, block)
+    return blocks.groupBy("cluster", "dim", "low", "high").applyInArrow(run, f"cluster {kinds['cluster']}, a {kinds['id']}, b {kinds['id']}, score double")
+
+
+def similarity_range(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metric: str = "dot", block: int = 2_000) -> DataFrame:
+    """``(cluster, least, greatest)``: the range of the similarities of different rows of each cluster; single rows have none."""
+    similarity(metric)
+    kind = df.schema[cluster_col].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        _, own, scores = _scores(table, metric)
+        least, most = np.inf, -np.inf
+        for start in range(0, len(own), 1024):
+            s = scores(start, start + 1024)
+            meets = (own[start : start + 1024, None] != own[None, :]) if low != high else np.arange(start, start + len(s))[:, None] != np.arange(len(own))[None, :]
+            s = s[meets & np.isfinite(s)]
+            if len(s):
+                least, most = min(least, s.min()), max(most, s.max())
+        found = [] if least > most else [0]
+        return pa.table({"cluster": pa.repeat(table.column("cluster")[0], len(found)), "least": pa.array([least] * len(found), pa.float64()), "greatest": pa.array([most] * len(found), pa.float64())})
+
+    parts = _block_pairs(df, cluster_col, vector_col, id_col, block).groupBy("cluster", "dim", "low", "high").applyInArrow(run, f"cluster {kind}, least double, greatest double")
+    return parts.groupBy("cluster").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+
+
+def _spanning(s: Callable[[int, int], np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(one end, other end, similarity) of a maximum spanning tree of n rows, by growing it from the first."""
+    best, origin = np.full(n, -np.inf), np.zeros(n, dtype=np.int64)
+    left = np.ones(n, dtype=bool)
+    here, a, b, w = 0, [], [], []
+    for _ in range(n - 1):
+        left[here] = False
+        row = np.nan_to_num(s(here, here + 1)[0], nan=-np.inf)
+        better = left & (row > best)
+        best[better], origin[better] = row[better], here
+        here = int(np.argmax(np.where(left, best, -np.inf)))
+        if not left[here]:
+            break
+        a.append(origin[here])
+        b.append(here)
+        w.append(best[here])
+    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(w)
+
+
+def linkage(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metric: str = "dot", block: int = 2_000) -> DataFrame:
+    """``(cluster, a, b, score)``: a maximum spanning tree of the rows of each cluster.
+
+    At any threshold the pairs above it join just what the tree's edges above
+    it join.  Every pair of blocks gives its own tree, as an edge that is not
+    in it is in no larger one; the edges of a cluster, a few for each row and
+    block, are then joined in order of their similarity.
+    """
+    similarity(metric)
+    kinds = {c: df.schema[n].dataType.simpleString() for c, n in (("cluster", cluster_col), ("id", id_col))}
+    shape = f"cluster {kinds['cluster']}, a {kinds['id']}, b {kinds['id']}, score double"
+
+    def grow(table: pa.Table) -> pa.Table:
+        ids, own, scores = _scores(table, metric)
+        a, b, w = _spanning(scores, len(own))
+        return pa.table({"cluster": pa.repeat(table.column("cluster")[0], len(a)), "a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "score": pa.array(w, pa.float64())})
+
+    def join(table: pa.Table) -> pa.Table:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        table = table.sort_by([("score", "descending"), ("a", "ascending"), ("b", "ascending")])
+        kept = []
+        for i, (a, b) in enumerate(zip(table.column("a").to_pylist(), table.column("b").to_pylist())):
+            a, b = find(a), find(b)
+            if a != b:
+                root[a] = b
+                kept.append(i)
+        return table.take(pa.array(kept, pa.int64()))
+
+    edges = _block_pairs(df, cluster_col, vector_col, id_col, block).groupBy("cluster", "dim", "low", "high").applyInArrow(grow, shape)
+    return edges.groupBy("cluster").applyInArrow(join, shape)
 
 
 def duplicates(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, threshold: float, strategy: str = "random", metric: str = "dot") -> DataFrame:
@@ -94,20 +237,20 @@ def duplicates(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, th
 def tune_threshold(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, target_retention: float, tolerance: float = 0.01, clusters: Sequence[int] | None = None, max_iter: int = 30) -> float:
     """The threshold at which about ``target_retention`` of the rows of some clusters stay, by bisection.
 
-    The pairs and their similarities are computed once; each step only counts components.
+    The rows that go at a threshold are as many as the edges above it in the
+    clusters' spanning trees, so each step is a count over one row a row.
     """
     rows = df if clusters is None else df.where(F.col(cluster_col).isin(list(clusters)))
     rows = rows.where(F.col(cluster_col) >= 0)
     n = rows.count()
-    pairs = cut_lineage(similar_pairs(rows, cluster_col, vector_col, id_col, -2.0))
-    low, high = pairs.agg(F.min("score"), F.max("score")).first()
+    edges = cut_lineage(linkage(rows, cluster_col, vector_col, id_col).select("score"))
+    low, high = edges.agg(F.min("score"), F.max("score")).first()
     if not n or low is None:
         return 1.0
     tolerance, middle = max(tolerance, 1 / n), (low + high) / 2
     for _ in range(max_iter):
         middle = (low + high) / 2
-        gone = connected_components(pairs.where(F.col("score") > middle), "a", "b").where("node <> component").count()
-        retention = 1 - gone / n
+        retention = 1 - edges.where(F.col("score") > middle).count() / n
         if abs(retention - target_retention) <= tolerance:
             break
         low, high = (middle, high) if retention < target_retention else (low, middle)
@@ -126,11 +269,16 @@ def semdedup(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, thre
 
 
 def remove_prototypes(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, target_retention: float = 0.75) -> DataFrame:
-    """Without the floor(n * (1 - retention)) rows of each cluster that are most like its centre; noise and single rows stay."""
-    scored = with_center(df, centroids(df, cluster_col, vector_col), cluster_col, vector_col)
-    order = Window.partitionBy(cluster_col).orderBy(F.desc(F.round("center_score", 9)), id_col)
-    ranked = scored.withColumns({"n": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy(cluster_col))})
-    gone = ranked.where((F.col("size") >= 2) & (F.col("n") <= F.floor(F.round(F.col("size") * (1 - target_retention), 9)))).select(id_col)
+    """Without the floor(n * (1 - retention)) rows of each cluster that are most like its centre; noise and single rows stay.
+
+    Ranks come from one numbering of all rows by cluster and similarity, over
+    range partitions, so no task sorts a whole cluster.
+    """
+    scored = with_center(df, centroids(df, cluster_col, vector_col), cluster_col, vector_col).select(cluster_col, id_col, F.round("center_score", 9).alias("__s"))
+    numbered = with_row_id(scored, [cluster_col, F.desc_nulls_last("__s"), id_col], "__n")
+    first = numbered.groupBy(cluster_col).agg(F.min("__n").alias("__first"), F.count("*").alias("__size"))
+    rank = F.col("__n") - F.col("__first") + 1
+    gone = numbered.join(first, cluster_col).where((F.col("__size") >= 2) & (rank <= F.floor(F.round(F.col("__size") * (1 - target_retention), 9)))).select(id_col)
     return df.join(gone, id_col, "left_anti")
 
 
@@ -175,19 +323,44 @@ def reduce_dimensions(df: DataFrame, vector_col: str, n_dims: int = 50, method:
     name = new_column or f"{vector_col}_{method}_{n_dims}"
     rows = df.withColumn("__raw", array_to_vector(F.col(vector_col).cast("array<double>")))
     if method == "svd":
-        from pyspark.mllib.linalg import Vectors
-        from pyspark.mllib.linalg.distributed import RowMatrix
-
-        matrix = RowMatrix(rows.select("__raw").rdd.map(lambda r: Vectors.dense(r[0].toArray())))
-        v = matrix.computeSVD(n_dims).V
-        axes = DenseMatrix(v.numRows, v.numCols, v.values.tolist(), v.isTransposed).toArray().T.tolist()
+        axes = _right_singular(df.where(F.col(vector_col).isNotNull()), vector_col, n_dims)
         return rows.drop("__raw").withColumn(name, F.array(*[dot(F.col(vector_col), literal(axis)) for axis in axes]))
     centred = StandardScaler(withMean=True, withStd=False, inputCol="__raw", outputCol="__centred").fit(rows).transform(rows)
     out = PCA(k=n_dims, inputCol="__centred", outputCol="__pca").fit(centred).transform(centred)
     return out.withColumn(name, vector_to_array("__pca")).drop("__raw", "__centred", "__pca")
 
 
-def plot_points(df: DataFrame, vector_col: str, color_by: str | None = None, limit: int = 50_000) -> DataFrame:
-    """``(x, y, label)`` of two-dimensional vectors, for a plot on the driver; at most ``limit`` points."""
+def _right_singular(df: DataFrame, vector_col: str, n_dims: int) -> list[list[float]]:
+    """The first right singular vectors, from the sums of products of all rows, which are gathered per partition first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.asarray(batch.column(0).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(batch.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total))], names=["i", "row"])
+
+    rows = df.select(F.col(vector_col).cast("array<double>")).mapInArrow(run, "i int, row array<double>")
+    sums = rows.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).toPandas()  # dimensions squared
+    if not len(sums):
+        return []
+    gram = np.zeros((sums["i"].max() + 1,) * 2)
+    gram[sums["i"], sums["j"]] = sums["x"]
+    _, v = np.linalg.eigh(gram)
+    v = v[:, ::-1][:, :n_dims].T
+    return (v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]).tolist()
+
+
+def cluster_centers(df: DataFrame, vector_col: str, n_clusters: int, seed: int = 42) -> DataFrame:
+    """``(cluster, center)`` of the k-means of :func:`cluster`."""
+    features = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("__features"))
+    centers = KMeans(k=n_clusters, seed=seed, featuresCol="__features").fit(features).clusterCenters()
+    return df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cluster int, center array<double>")
+
+
+def plot_points(df: DataFrame, vector_col: str, color_by: str | None = None) -> DataFrame:
+    """``(x, y, label)`` of all two-dimensional vectors, for a plot; draw them in as many as the driver can hold."""
     label = F.col(color_by).cast("string") if color_by else F.lit(None).cast("string")
-    return df.where(F.size(vector_col) == 2).select(F.col(vector_col)[0].alias("x"), F.col(vector_col)[1].alias("y"), label.alias("label")).limit(limit)
+    return df.where(F.size(vector_col) == 2).select(F.col(vector_col)[0].alias("x"), F.col(vector_col)[1].alias("y"), label.alias("label"))
