@@ -217,14 +217,15 @@ def split_oversized(
         "id", "text", "most", F.least(F.coalesce("overlap", F.lit(0)), F.col("most") - 1).alias("overlap")
     )
 
-    def tables(bpe: BytePairEncoder, batch: pd.DataFrame) -> list[Atoms]:
-        """The boundary table of each range of a batch (lead, body, tail, range, last, most)."""
+    def tables(bpe: BytePairEncoder, batch: pd.DataFrame, above: bool = False) -> list[Atoms | None]:
+        """The boundary table of each range of a batch (lead, body, tail, range, last, most); with ``above`` only where it has over ``most`` tokens."""
         views, cut = [], []
         for lead, body, tail, number, last in batch[["lead", "body", "tail", "range", "last"]].itertuples(index=False):
             views.append(lead + body + tail)
             cut.append(range_chunks(views[-1], len(lead), len(lead) + len(body), number * size, bpe, last))
         counts = bpe.chunk_counts([chunks for _, chunks in cut])
-        return [atoms(v, first, chunks, n, bpe, most) for v, (first, chunks), n, most in zip(views, cut, counts, batch["most"].tolist())]
+        most = batch["most"].tolist()
+        return [None if above and n.sum() <= m else atoms(v, first, chunks, n, bpe, m) for v, (first, chunks), n, m in zip(views, cut, counts, most)]
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = encoder(tokenizer, folder)
@@ -232,8 +233,8 @@ def split_oversized(
             # a text has at most as many tokens as bytes
             batch = batch[[len(t) > m or len(t.encode("utf-8", "surrogatepass")) > m for t, m in zip(batch["body"], batch["most"])]]
             out = []
-            for key, text, most, overlap, table in zip(batch["id"], batch["body"], batch["most"].tolist(), batch["overlap"].tolist(), tables(bpe, batch)):
-                out += [(key, number, a, b, n, shared, text[a:b]) for number, a, b, n, shared in _stitched([table], most, overlap)]
+            for key, text, most, overlap, table in zip(batch["id"], batch["body"], batch["most"].tolist(), batch["overlap"].tolist(), tables(bpe, batch, above=True)):
+                out += [] if table is None else [(key, number, a, b, n, shared, text[a:b]) for number, a, b, n, shared in _stitched([table], most, overlap)]
             yield pd.DataFrame(out, columns=["id", "piece_no", "start", "end", "n_tokens", "shared_tokens", "piece"])
 
     one = rows.where(F.length("text") <= size).select(
