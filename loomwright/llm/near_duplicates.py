@@ -10,12 +10,14 @@ each block the Hamming distances to reference fingerprints are computed once
 and stored as one row of coordinates.  Two texts can be alike in a block only
 if no coordinate of their rows differs, so texts meet where a whole row is
 equal (greatest coordinate difference 0), and all other pairs are discarded
-without being looked at.  Of those that meet, distances of the whole sketch to
-further references discard what the triangle inequality rules out, the Hamming
-distance of the sketches discards what is too far, and the survivors are
-verified exactly on the texts.
-
-Equal texts are one text with several ids until the result is written.
+without being looked at.  A row that many texts share is dealt out in parts, which meet
+pairwise without a pair being written.  Of those that meet, distances of the
+whole sketch to further references discard what the triangle inequality rules
+out, the Hamming distance of the sketches discards what is too far, and the
+survivors are verified exactly on the texts.
+
+Equal texts are one text, named by its hash, until the result is written; each
+task sends a text on once.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwright.plans.components import connected_components
-from loomwright.plans.lineage import cut_lineage, spread
+from loomwright.plans.lineage import cut_lineage, forget, spread
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,9 @@ class DuplicateSettings:
     With ``blocks`` blocks of ``block_values`` values a pair of similarity s is
     missed with a chance of (1 - s**block_values)**blocks: 0.20 % at 0.50,
     4e-5 at 0.55, 1e-7 at 0.60 with the defaults.  ``blocks_at_once`` blocks are
-    joined in one turn, which bounds the disk.  ``slack`` is the margin, in
+    joined in one turn, which bounds the disk.  Up to ``run_rows`` texts that are
+    equal in a block are paired at once; more go through the pivot distances of
+    the whole sketch, ``deal_rows`` against ``deal_rows``.  ``slack`` is the margin, in
     similarity, that the sketch test leaves where every bin is filled (three
     standard errors); it grows as fewer bins are.
     """
@@ -53,6 +57,8 @@ class DuplicateSettings:
     blocks: int = 196
     block_values: int = 5
     blocks_at_once: int = 28
+    run_rows: int = 256
+    deal_rows: int = 4_000
     references: int = 10
     sketch_bits: int = 384
     whole_references: int = 8
@@ -158,7 +164,7 @@ class Fingerprinter:
 
 
 def _signatures(df: DataFrame, id_col: str, text_col: str, s: DuplicateSettings) -> DataFrame:
-    """``(id, h, keys, sketch)`` of every row with n-grams; h names the normalised text."""
+    """``(id, h, t, keys, sketch)`` of every row with n-grams; h names the normalised text, t is the first half of h."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Fingerprinter(s)
@@ -183,30 +189,98 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, s: DuplicateSettings)
                     [
                         ids.take(pa.array(rows)),
                         pa.array(names, pa.binary()),
+                        pa.array(np.frombuffer(b"".join(x[:8] for x in names), dtype=">i8").astype(np.int64)),
                         pa.array([packed[i * width : (i + 1) * width] for i in rows], pa.binary()),
                         pa.array(both, pa.binary()),
                     ],
-                    names=["id", "h", "keys", "sketch"],
+                    names=["id", "h", "t", "keys", "sketch"],
                 )
 
     narrow = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t")).where("id is not null and t is not null")
-    return spread(narrow).mapInArrow(run, "id bigint, h binary, keys binary, sketch binary")
+    return spread(narrow).mapInArrow(run, "id bigint, h binary, t bigint, keys binary, sketch binary")
 
 
 def _block_keys(df: DataFrame, first: int, last: int) -> DataFrame:
-    """``(id, key)`` of the blocks from ``first`` to before ``last``."""
+    """``(t, key)`` of the blocks from ``first`` to before ``last``, each text once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()  # at most the texts of one split
         for batch in batches:
-            if not batch.num_rows:
+            t = batch.column(0).to_pylist()
+            new = [i for i, x in enumerate(t) if not (x in known or known.add(x))]
+            if not new:
                 continue
-            six = np.frombuffer(b"".join(k[first * 6 : last * 6] for k in batch.column(1).to_pylist()), dtype=np.uint8).reshape(-1, 6)
+            keys = batch.column(1).take(pa.array(new)).to_pylist()
+            six = np.frombuffer(b"".join(k[first * 6 : last * 6] for k in keys), dtype=np.uint8).reshape(-1, 6)
             eight = np.zeros((len(six), 8), dtype=np.uint8)
             eight[:, :6] = six
-            ids = np.repeat(batch.column(0).to_numpy(), last - first)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(eight.view(np.int64).ravel())], names=["id", "key"])
+            names = np.repeat(np.array(t, dtype=np.int64)[new], last - first)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(eight.view(np.int64).ravel())], names=["t", "key"])
+
+    return df.select("t", "keys").mapInArrow(run, "t bigint, key bigint")
+
+
+def _pairs_of_runs(keys: np.ndarray, t: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(one text, other text of the pairs of equal keys; key, text of the rows of longer runs) of sorted, distinct rows."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    left, right = [], []
+    for n in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        i, j = np.triu_indices(n, 1)
+        own = starts[sizes == n]
+        left.append((own[:, None] + i[None, :]).ravel())
+        right.append((own[:, None] + j[None, :]).ravel())
+    large = np.repeat(sizes > most, sizes)
+    none = np.zeros(0, dtype=np.int64)
+    return t[np.concatenate([none, *left])], t[np.concatenate([none, *right])], keys[large], t[large]
+
+
+def _meeting(keys: DataFrame, most: int) -> DataFrame:
+    """``(a, b, key)``: pairs of texts with an equal key (key null), and the rows of keys that over ``most`` texts share (b null)."""
+    ordered = keys.repartition("key").sortWithinPartitions("key", "t")
 
-    return df.select("id", "keys").mapInArrow(run, "id bigint, key bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
+
+        def out(k: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b, hot, texts = _pairs_of_runs(k, t, most)
+            for i in range(0, len(a), 1 << 20):
+                n = len(a[i : i + (1 << 20)])
+                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + n]), pa.array(b[i : i + n]), pa.nulls(n, pa.int64())], schema=shape)
+            if len(hot):
+                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(hot), pa.int64()), pa.array(hot)], schema=shape)
+
+        k, t, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the run that is not over yet; the key of one that goes on as hot
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, t = np.r_[k, batch.column(1).to_numpy()], np.r_[t, batch.column(0).to_numpy()]
+            new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
+            k, t = k[new], t[new]
+            if hot is not None:
+                n = int(np.searchsorted(k, hot, side="right"))
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array(t[:n]), pa.nulls(n, pa.int64()), pa.array(k[:n])], schema=shape)
+                if n == len(k):
+                    k, t = k[:0], t[:0]
+                    continue
+                k, t, hot = k[n:], t[n:], None
+            open_at = int(np.searchsorted(k, k[-1], side="left"))
+            yield from out(k[:open_at], t[:open_at])
+            k, t = k[open_at:], t[open_at:]
+            if len(k) > most:
+                hot = int(k[0])
+                yield from out(k, t)
+                k, t = k[:0], t[:0]
+        yield from out(k, t)
+
+    return ordered.select("t", "key").mapInArrow(run, "a bigint, b bigint, key bigint")
+
+
+def _sketch_arrays(column: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words of the sketches, distances to the references and filled bins) of packed sketches."""
+    raw = np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(raw[:, : words * 8]).view(np.uint64), np.ascontiguousarray(raw[:, words * 8 :]).view(np.int16)
 
 
 def _near_sketches(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
@@ -218,17 +292,48 @@ def _near_sketches(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw = [np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for i in (2, 3)]
-            far = [np.ascontiguousarray(x[:, words * 8 :]).view(np.int16) for x in raw]
-            most = make.most_bits(np.maximum(far[0][:, -1], far[1][:, -1]))
-            keep = np.abs(far[0][:, :-1] - far[1][:, :-1]).max(1) <= most
-            bits = [np.ascontiguousarray(x[:, : words * 8]).view(np.uint64) for x in raw]
-            keep &= np.bitwise_count(bits[0] ^ bits[1]).sum(1) <= most
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            (bits_a, far_a), (bits_b, far_b) = (_sketch_arrays(batch.column(i).to_pylist(), words) for i in (2, 3))
+            most = make.most_bits(np.maximum(far_a[:, -1], far_b[:, -1]))
+            keep = np.flatnonzero(np.abs(far_a[:, :-1] - far_b[:, :-1]).max(1) <= most)
+            keep = keep[np.bitwise_count(bits_a[keep] ^ bits_b[keep]).sum(1) <= most[keep]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], names=["a", "b"])
 
     return pairs.select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _near_in_parts(hot: DataFrame, sketches: DataFrame, s: DuplicateSettings) -> DataFrame:
+    """As :func:`_near_sketches` for all pairs of the texts of each key of ``hot`` (key, t).
+
+    The texts of a key are dealt to parts of about ``deal_rows``; every two
+    parts meet in a task of their own, and only near pairs leave it.
+    """
+    words = s.sketch_bits // 64
+    sizes = hot.groupBy("key").agg(F.ceil(F.count("*") / s.deal_rows).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("t"), F.col("parts").cast("bigint")).cast("int")
+    dealt = hot.join(sizes, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "t").join(sketches, "t")
+
+    def run(table: pa.Table) -> pa.Table:
+        make = Fingerprinter(s)
+        table = table.sort_by("t")
+        t, part = table.column("t").to_numpy(), table.column("own").to_numpy()
+        crossing = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        bits, far = _sketch_arrays(table.column("sketch").to_pylist(), words)
+        left, right = [], []
+        for i in range(len(t)):
+            j = np.arange(i + 1, len(t))
+            j = j[part[j] != part[i]] if crossing else j
+            most = make.most_bits(np.maximum(far[j, -1], far[i, -1]))
+            ok = np.abs(far[j, :-1] - far[i, :-1]).max(1) <= most if len(j) else np.zeros(0, bool)
+            j, most = j[ok], most[ok]
+            j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(1) <= most]
+            left.append(np.full(len(j), t[i]))
+            right.append(t[j])
+        return pa.table({"a": pa.array(np.concatenate(left).astype(np.int64)), "b": pa.array(np.concatenate(right).astype(np.int64))})
+
+    return placed.groupBy("key", "low", "high").applyInArrow(run, "a bigint, b bigint")
+
+
 def _verified(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     """Exact similarities of pairs that carry their texts; those below the threshold are gone."""
 
@@ -254,20 +359,19 @@ def _verified(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b").mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
-def _small(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
-    """``df``, to be broadcast if it was counted to be small; else it is joined by a shuffle."""
-    df = cut_lineage(df)
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def _near_in_blocks(texts: DataFrame, first: int, last: int, s: DuplicateSettings) -> DataFrame:
     """``(a, b)`` of the texts that are equal in one of the blocks and near by their sketches."""
-    keys = _block_keys(texts, first, last)
-    left, right = keys.select("key", F.col("id").alias("a")), keys.select("key", F.col("id").alias("b"))
-    pairs = cut_lineage(left.join(right, "key").where("a < b").select("a", "b").distinct())
-    sketches = texts.groupBy("id").agg(F.min("sketch").alias("sketch"))
+    met = cut_lineage(_meeting(_block_keys(texts, first, last), s.run_rows).distinct())
+    sketches = texts.select("t", "sketch").dropDuplicates(["t"])
+    pairs = met.where("b is not null")
     with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-    return cut_lineage(_near_sketches(with_sketches, s))
+    near = _near_sketches(with_sketches, s)
+    hot = met.where("key is not null").select("key", F.col("a").alias("t"))
+    if hot.limit(1).count():
+        near = near.unionByName(_near_in_parts(hot, sketches, s))
+    near = cut_lineage(near)
+    forget(met)
+    return near
 
 
 def near_duplicate_links(
@@ -282,25 +386,76 @@ def near_duplicate_links(
     stands for the id.
     """
     s = settings
-    rows = cut_lineage(_signatures(df, id_col, text_col, s))
-    one = rows.groupBy("id").agg(F.min("h").alias("h"))
-    reps = one.groupBy("h").agg(F.min("id").alias("rep"))
-    members = cut_lineage(one.join(reps, "h").select("id", "rep", "h"))
-    own = members.where("id = rep").select("id", "h")
-    # copies beyond the first are few as a rule; then they are struck out where the rows lie
-    copies = _small(rows.select("id", "h").join(own, ["id", "h"], "left_anti").distinct())
-    texts = rows.join(copies, ["id", "h"], "left_anti")
+    texts = cut_lineage(_signatures(df, id_col, text_col, s))
+    one = texts.groupBy("id").agg(F.min("h").alias("h"))
+    short = F.conv(F.hex(F.substring("h", 1, 8)), 16, -10).cast("bigint")  # t: the first half of h
+    reps = cut_lineage(one.groupBy("h").agg(F.min("id").alias("rep")).select("h", "rep", short.alias("t")))
+    members = cut_lineage(one.join(reps, "h").select("id", "rep"))
     near = None
     for first in range(0, s.blocks, s.blocks_at_once):
         found = _near_in_blocks(texts, first, min(first + s.blocks_at_once, s.blocks), s)
         near = found if near is None else near.unionByName(found)
         df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn
-    near = cut_lineage(near.distinct())
-    involved = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    named = reps.select("t", "rep")
+    pairs = near.distinct().join(named.toDF("a", "rep_a"), "a").join(named.toDF("b", "rep_b"), "b")
+    near = cut_lineage(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).where("a < b"))
+    # a small table of ids is broadcast by its true size, a large one is shuffled
+    involved = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     content = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    content = content.join(_small(involved), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    content = content.join(involved, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     full = near.join(content.toDF("a", "text_a"), "a").join(content.toDF("b", "text_b"), "b")
-    return _verified(full, s), members.select("id", "rep")
+    return _verified(full, s), members
+
+
+def link_recall(
+    df: DataFrame, id_col: str, text_col: str, links: DataFrame, members: DataFrame, every: int = 20, block: int = 1_000, settings: DuplicateSettings = DuplicateSettings()
+) -> DataFrame:
+    """``(similarity, pairs, found, recall)`` in bands of a tenth, against brute force.
+
+    Queries are all representatives divisible by ``every``, against the texts
+    of all representatives, in blocks of ``block`` queries, each block sent to
+    the executors once as an inverted index of its n-grams.
+    """
+    s = settings
+    text = F.col(f"`{text_col}`").cast("string")
+    reps = members.select(F.col("rep").alias("id")).distinct()
+    rows = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), text.alias("text")).where("text is not null").join(reps, "id", "left_semi")
+    rows = cut_lineage(rows.groupBy("id").agg(F.min("text").alias("text")))
+    queries = rows.where(F.col("id") % every == 0)
+    blocks = max(1, -(-queries.count() // block))
+    exact = None
+    for number in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).collect()
+        sets = [np.unique(_gram_hashes([normalise(r.text)], s.ngram)[0]) for r in part]
+        grams = np.concatenate([np.zeros(0, np.uint64), *sets])
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(grams, kind="stable")
+        index = (np.array([r.id for r in part], dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64), grams[order], owner[order].astype(np.int32))
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            ids, sizes, grams, owner = shared.value
+            for batch in batches:
+                out = []
+                for key, text in zip(batch["id"], batch["text"]):
+                    own = np.unique(_gram_hashes([normalise(text)], s.ngram)[0])
+                    low, high = np.searchsorted(grams, own, "left"), np.searchsorted(grams, own, "right")
+                    n = high - low
+                    at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    common = np.bincount(owner[at], minlength=len(ids))
+                    value = common / np.maximum(sizes + len(own) - common, 1)
+                    hit = np.flatnonzero((value >= s.threshold) & (ids != key))
+                    out += [(min(key, ids[i]), max(key, ids[i]), float(value[i])) for i in hit.tolist()]
+                yield pd.DataFrame(out, columns=["a", "b", "s"]).astype({"a": "int64", "b": "int64", "s": float})
+
+        found = rows.mapInPandas(run, "a bigint, b bigint, s double")
+        exact = found if exact is None else exact.unionByName(found)
+    exact = cut_lineage(exact.groupBy("a", "b").agg(F.max("s").alias("s")))
+    both = exact.join(links.select("a", "b", F.lit(True).alias("hit")), ["a", "b"], "left")
+    band = F.floor(F.col("s") * 10 + 1e-9) / 10
+    return both.groupBy(band.alias("similarity")).agg(
+        F.count("*").alias("pairs"), F.count_if("hit").alias("found"), F.round(F.count_if("hit") / F.count("*"), 4).alias("recall")
+    )
 
 
 def duplicate_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomwright.llm.clusters import density_clusters, describe_clusters
 from loomwright.llm.language import detect_languages, fit_language_model, mislabelled
 from loomwright.llm.mixing import mix_shares, mix_to_targets, realise, source_tokens, temperature_weights
-from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, near_duplicate_links
+from loomwright.llm.near_duplicates import duplicate_groups, duplicate_pairs, link_recall, near_duplicate_links
 from loomwright.llm.neighbours import most_similar, recall_of, similar_pairs
 from loomwright.llm.pii import find_pii, mask_pii
 from loomwright.llm.seen import seen_before, state_size, wrong_answers
@@ -95,6 +95,13 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return duplicate_groups(cut_lineage(links), members).toDF("page_id", "group_id", "links")
 
 
+def p5_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the pairs of each band of similarity are found, for every page id divisible by 20 against all pages."""
+    pages = _table(spark, folder, "web_docs")
+    links, members = near_duplicate_links(pages, "page_id", "content")
+    return link_recall(pages, "page_id", "content", cut_lineage(links), members)
+
+
 def _web_languages(spark: SparkSession, folder: str, *keep: str) -> DataFrame:
     pages = _table(spark, folder, "web_docs")
     model = fit_language_model(_table(spark, folder, "lang_samples"), pages)
@@ -170,7 +177,7 @@ P10_REBUILT_SQL = "SELECT doc_id, md5(text) AS digest FROM documents"
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p4_budget, p5_found, p5_groups, p6_found, p6_segments, p7_found, p7_masked, p8_ids, p9_mix, p9_shares, p9_temperature, p10_pieces, p10_rebuilt)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_recall, p3_found, p3_wrong_rate, p4_budget, p5_found, p5_groups, p5_recall, p6_found, p6_segments, p7_found, p7_masked, p8_ids, p9_mix, p9_shares, p9_temperature, p10_pieces, p10_rebuilt)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomwright.llm.near_duplicates import DuplicateSettings, _gram_hashes, duplicate_groups, duplicate_pairs, near_duplicate_links, normalise
+from loomwright.llm.near_duplicates import DuplicateSettings, _gram_hashes, _meeting, duplicate_groups, duplicate_pairs, link_recall, near_duplicate_links, normalise
 
 
 def _grams(text, n=9):
@@ -68,6 +68,36 @@ def test_pairs_just_above_the_threshold_are_found(spark):
     assert len({p for p in got if p[0] < 600}) >= 298 and len({p for p in got if p[0] >= 600}) >= 298
 
 
+def test_rows_that_many_texts_share_lose_nothing(spark):
+    """Texts over one template share many rows of pivot distances; small limits send them through the parts."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    frame = " ".join(word() for _ in range(60))
+    rows = [(i, frame + " " + " ".join(word() for _ in range(rng.choice([5, 20, 60])))) for i in range(120)]
+    df = spark.createDataFrame(rows + rows[:5], "page_id bigint, content string").repartition(3)
+    want = _brute(rows)
+    for limits in ({}, {"run_rows": 8, "deal_rows": 20}, {"run_rows": 1, "deal_rows": 1000}):
+        links, members = near_duplicate_links(df, "page_id", "content", DuplicateSettings(**limits))
+        got = {(r.a, r.b) for r in links.collect()}
+        assert got <= want and len(got) >= 0.998 * len(want) > 500
+    recall = link_recall(df, "page_id", "content", links, members, every=3).collect()
+    assert sum(r.pairs for r in recall) == len([p for p in want if p[0] % 3 == 0 or p[1] % 3 == 0])
+    assert all(r.recall >= 0.95 for r in recall)
+
+
+def test_runs_over_batches(spark):
+    rng = random.Random(2)
+    keys = [(t, rng.choice([7, 8, 9, t])) for t in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        met = _meeting(spark.createDataFrame(keys + keys[:500], "t bigint, key bigint").repartition(4), 100).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r.a, r.key) for r in met if r.b is None} == {(t, k) for t, k in keys if k in (7, 8, 9)}
+    small = _meeting(spark.createDataFrame([(1, 5), (2, 5), (3, 5), (1, 5), (4, 6), (5, 6), (6, 1)], "t bigint, key bigint"), 100).collect()
+    assert {(r.a, r.b) for r in small} == {(1, 2), (1, 3), (2, 3), (4, 5)} and len(small) == 4
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="ab🙂é ", max_size=30), max_size=6))
 def test_gram_hashes_stay_inside_their_texts(texts):
