@@ -359,10 +359,9 @@ def _verified(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b").mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
-def _near_in_blocks(texts: DataFrame, first: int, last: int, s: DuplicateSettings) -> DataFrame:
+def _near_in_blocks(texts: DataFrame, sketches: DataFrame, first: int, last: int, s: DuplicateSettings) -> DataFrame:
     """``(a, b)`` of the texts that are equal in one of the blocks and near by their sketches."""
     met = cut_lineage(_meeting(_block_keys(texts, first, last), s.run_rows).distinct())
-    sketches = texts.select("t", "sketch").dropDuplicates(["t"])
     pairs = met.where("b is not null")
     with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     near = _near_sketches(with_sketches, s)
@@ -391,9 +390,10 @@ def near_duplicate_links(
     short = F.conv(F.hex(F.substring("h", 1, 8)), 16, -10).cast("bigint")  # t: the first half of h
     reps = cut_lineage(one.groupBy("h").agg(F.min("id").alias("rep")).select("h", "rep", short.alias("t")))
     members = cut_lineage(one.join(reps, "h").select("id", "rep"))
+    sketches = cut_lineage(texts.select("t", "sketch").dropDuplicates(["t"]))
     near = None
     for first in range(0, s.blocks, s.blocks_at_once):
-        found = _near_in_blocks(texts, first, min(first + s.blocks_at_once, s.blocks), s)
+        found = _near_in_blocks(texts, sketches, first, min(first + s.blocks_at_once, s.blocks), s)
         near = found if near is None else near.unionByName(found)
         df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn
     named = reps.select("t", "rep")
