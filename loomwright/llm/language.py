@@ -199,6 +199,7 @@ def fit_language_model(
     label_col: str = "__language",
     id_col: str = "page_id",
     pages_per_language: int = 120,
+    most_samples: int = 20_000,
 ) -> LanguageModel:
     """A model from ``samples`` (``sample_text``, ``lang``), refined on labelled pages.
 
@@ -206,9 +207,15 @@ def fit_language_model(
     label, drawn by a hash of the id (the bound of the training sample), and of
     these the sentences of pages on which at least four in five sentences are
     near the centroids of the label.  Labels that the content belies thus drop
-    out.  Everything else covers all rows.
+    out.  Of more than ``most_samples`` samples about so many are drawn by a
+    hash.  These two bound what the classifier is fitted on; everything else
+    covers all rows.
     """
-    rows = samples.select("sample_text", "lang").where("sample_text is not null and lang is not null").limit(20_000).collect()
+    known = samples.select("sample_text", "lang").where("sample_text is not null and lang is not null")
+    count = known.count()
+    if count > most_samples:
+        known = known.where(F.pmod(F.xxhash64(F.lit("samples"), "sample_text"), F.lit(1_000_000)) < int(1_000_000 * most_samples / count))
+    rows = known.orderBy("lang", "sample_text").collect()
     bags, labels = [_bag(r[0]) for r in rows], [r[1] for r in rows]
     model = LanguageModel.fit(bags, labels, centroids=3)
     if pages is None:
@@ -221,7 +228,7 @@ def fit_language_model(
     if share is None:
         return model
     draw = F.pmod(F.xxhash64(F.lit("language sample"), "id"), F.lit(1_000_000))
-    drawn = coded.where(draw < share[F.col("code")]).select("text", "code").limit(4 * pages_per_language * len(sizes)).collect()
+    drawn = coded.where(draw < share[F.col("code")]).select("text", "code").orderBy("id").collect()  # about pages_per_language a label
     scorer = model.scorer(200_000)
     for text, code in drawn:
         own = [(text[a:b]) for a, b in stretches(text)]

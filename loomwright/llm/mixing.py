@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from loomwright.plans.lineage import cut_lineage
 
 
+MOST_SOURCES = 100_000
+
+
 def _entropy(w: np.ndarray) -> float:
     w = w[w > 0]
     return float(-(w * np.log(w)).sum())
@@ -148,9 +151,14 @@ def realise(counted: DataFrame, weights: dict[str, float], total: float, block_r
 
 
 def mix_to_targets(counted: DataFrame, targets: DataFrame, total: float | None = None) -> tuple[DataFrame, dict[str, float], float]:
-    """(realised mix, weights, total) for ``targets`` (source, target_share, max_repeats; one row a source)."""
+    """(realised mix, weights, total) for ``targets`` (source, target_share, max_repeats; one row a source).
+
+    The targets are held on the driver: more than MOST_SOURCES rows are a ValueError.
+    """
     counted = cut_lineage(counted)
-    rows = targets.where("source is not null and target_share is not null").limit(100_000).collect()
+    rows = targets.where("source is not null and target_share is not null").limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} targets")
     tokens = source_tokens(counted)
     weights, size = target_weights(tokens, {r["source"]: float(r["target_share"]) for r in rows}, {r["source"]: int(r["max_repeats"] or 1) for r in rows}, total)
     return realise(counted, weights, size), weights, size

@@ -1,14 +1,17 @@
 """Personal information inside free text (problem 7).
 
 Bootstrapped contextual extraction.  One pass over the texts finds candidates
-by loose form (something like a number, an address, a name) with the words
-before them.  Seeds are the few candidates that are certain: a listed given
+by loose form (something like an address with an at, a number, a number beside
+capitalised words, a name) with the words before them.  Seeds are the few
+candidates that are certain: an e-mail address in plain form, a listed given
 name before a capitalised word, a number in international form or after one of
-a handful of captions, a number beside a street word.  From there Spark scores
-the graph of patterns (context before, shape, given name) and instances in
-turns: a pattern is as good as the instances it holds, an instance as good as
-its patterns.  Good patterns then bring in identifiers that no seed knew:
-captions in other languages, shapes without a caption, names not in the list.
+a handful of captions, a house number and a listed street word before a
+postcode or flat.  From there Spark scores the
+graph of patterns (context before, shape, given name or street word) and
+instances in turns: a pattern is as good as the instances it holds, an instance
+as good as its patterns.  Good patterns then bring in identifiers that no seed
+knew: addresses that are written out, captions in other languages, shapes
+without a caption, names and street words not in the lists.
 
 The graph is aggregated to distinct (context, shape, word) combinations with
 counts before the first turn, so its size follows the variety of contexts and
@@ -64,6 +67,12 @@ _ADDRESS = re.compile(
 )
 _STREET_WORD = re.compile(rf"{_STREET_LAST}|{_STREET_FIRST}|{_STREET_TAIL}|Str\.|Straße|Weg", re.IGNORECASE)
 
+# a house number beside capitalised words, whatever they are
+_LOOSE = re.compile(
+    rf"(?<![\w#/.,-]){_HOUSE} (?:{_CAP} ){{1,2}}{_CAP}(?![\w@'’])|(?<![\w.'’-])(?:{_CAP} ){{0,2}}{_CAP} {_HOUSE}(?![\w@/:-]|[.,]\d| ?\d)"
+)
+_AFTER_ADDRESS = re.compile(r"[,\n] ?(?:flat |apt\.? |apartment )?(?:\d|[A-Z]{1,2}\d)")
+
 # Captions whose numbers are seeds of the type; forms of address.
 _ID_SEEDS = re.compile(r"(?:passport|tax id|social security|national insurance|personal id|\bdni\b)[^\d\n.]{0,14}(?:\bno\.[:( ]*)?$", re.IGNORECASE)
 _TITLES = frozenset("mr mrs ms dr prof mme m mlle sr sra srta frau herr herrn dhr mevr sig dott dear sehr geehrte".split())
@@ -95,16 +104,27 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
     out = []
     taken: list[tuple[int, int]] = []
     for m in _EMAIL.finditer(text):
-        out.append(("email", m.start(), m.end(), "", "", "", "email"))
+        context, _ = _context(text, m.start())
+        shape = re.sub(r"[\w.+%-]+", "w", m.group())
+        out.append(("email", m.start(), m.end(), context, shape, "", "email" if shape == "w@w" else None))
         taken.append(m.span())
     for m in _ADDRESS.finditer(text):
         a, b = m.span()
         if any(a < y and b > x for x, y in taken):
             continue
         context, _ = _context(text, a)
-        shape = " ".join("0" if w[0].isdigit() else w.lower() if _STREET_WORD.search(w) and len(w) < 10 else "w" for w in m.group().split())
-        out.append(("address", a, b, context, shape, "", "street_address"))
+        word = _STREET_WORD.search(m.group()).group().lower().rstrip(".")
+        shape = re.sub(r"\d+ ?[a-z]?\b", "0", re.sub(r"[^\W\d]\w*\.?", "w", m.group()))
+        out.append(("address", a, b, context, shape, word, "street_address" if _AFTER_ADDRESS.match(text, b) else None))
         taken.append((a, b))
+    for m in _LOOSE.finditer(text):
+        a, b = m.span()
+        context, opens = _context(text, a)
+        if opens or any(a < y and b > x for x, y in taken):
+            continue
+        words = m.group().split()
+        word = words[-1] if words[0][0].isdigit() else words[0] if len(words) > 2 else words[0][-4:]
+        out.append(("loose", a, b, context, "loose", word.lower(), None))
     for m in _NUMBER.finditer(text):
         a, b = m.span()
         own = m.group()
@@ -147,9 +167,15 @@ def candidates(text: str, given: frozenset[str]) -> list[tuple[str, int, int, st
 _CANDIDATE = "kind string, start int, end int, pii_text string, context string, shape string, word string, seed string"
 
 
-def find_candidates(df: DataFrame, given_names: DataFrame, id_col: str = "page_id", text_col: str = "content") -> DataFrame:
-    """One row for each candidate of each text: offsets in code points, patterns and seed type."""
-    given = frozenset(r[0].lower() for r in given_names.select("given_name").where("given_name is not null").limit(20_000).collect())
+def find_candidates(df: DataFrame, given_names: DataFrame, id_col: str = "page_id", text_col: str = "content", most_names: int = 1_000_000) -> DataFrame:
+    """One row for each candidate of each text: offsets in code points, patterns and seed type.
+
+    More than ``most_names`` given names are a ValueError.
+    """
+    listed = given_names.select(F.lower("given_name")).where("given_name is not null").distinct().limit(most_names + 1).collect()
+    if len(listed) > most_names:
+        raise ValueError(f"over {most_names} given names; they are held by every worker")
+    given = frozenset(r[0] for r in listed)
     names = [id_col, "kind", "start", "end", "pii_text", "context", "shape", "word", "seed"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +195,7 @@ def find_candidates(df: DataFrame, given_names: DataFrame, id_col: str = "page_i
 
 # -- the graph ---------------------------------------------------------------------
 
-_SCORES = ("phone", "id_number", "person_name", "street_address")
+_SCORES = ("email", "phone", "id_number", "person_name", "street_address")
 
 
 def _mean(score: str, over: list[str], graph: DataFrame) -> DataFrame:
@@ -178,7 +204,8 @@ def _mean(score: str, over: list[str], graph: DataFrame) -> DataFrame:
     Half an instance of doubt keeps a pattern of one instance below certainty.
     """
     weight = F.when(F.col(score) > 0, 1.0).otherwise(0.35) * F.col("n")
-    return graph.groupBy(*over).agg((F.sum(F.col(score) * F.col("n")) / (F.sum(weight) + 0.5)).alias(f"by_{over[-1]}"))
+    held = [F.sum("n").alias("held")] if over[-1] == "context" else []
+    return graph.groupBy(*over).agg((F.sum(F.col(score) * F.col("n")) / (F.sum(weight) + 0.5)).alias(f"by_{over[-1]}"), *held)
 
 
 def score_patterns(found: DataFrame, rounds: int = 3) -> DataFrame:
@@ -187,10 +214,10 @@ def score_patterns(found: DataFrame, rounds: int = 3) -> DataFrame:
     Columns: the four keys, ``pii_type`` and ``score``.  Contexts that only say
     that a sentence starts carry no evidence.
     """
-    graph = found.where("kind <> 'email'").groupBy("kind", "context", "shape", "word").agg(
+    graph = found.withColumn("kind", F.when(F.col("kind") == "loose", "address").otherwise(F.col("kind"))).groupBy("kind", "context", "shape", "word").agg(
         F.count("*").alias("n"), *[F.sum((F.col("seed") == t).cast("double")).alias(f"seeds_{t}") for t in _SCORES]
     )
-    types = {"number": ("phone", "id_number"), "name": ("person_name",), "address": ("street_address",)}
+    types = {"number": ("phone", "id_number"), "name": ("person_name",), "address": ("street_address",), "email": ("email",)}
     stacked = None
     for kind, own in types.items():
         for t in own:
@@ -213,7 +240,10 @@ def score_patterns(found: DataFrame, rounds: int = 3) -> DataFrame:
         c, s, w = (F.coalesce(F.col(f"by_{x}"), F.lit(0.0)) for x in ("context", "shape", "word"))
         number = F.when(neutral, s * 0.95).otherwise(F.greatest(c, s * 0.9))
         name = F.when(F.col("shape") == "given family", F.greatest(c, F.when(neutral, w * 0.6).otherwise(F.least(w, c + 0.3)))).otherwise(c)
-        fresh = F.when(F.col("kind") == "number", number).when(F.col("kind") == "name", name).otherwise(F.lit(1.0))
+        # a street word in a context that often holds house numbers but no addresses is none
+        listed = F.when(neutral, w * 0.9).otherwise(F.greatest(c, F.least(w, s) * F.when(F.coalesce(F.col("held"), F.lit(0)) * (1 - c) >= 20, 0.4).otherwise(0.9)))
+        address = F.when(F.col("shape") == "loose", F.greatest(c * 0.7, F.least(w * 0.9, c + 0.5))).otherwise(listed)
+        fresh = F.when(F.col("kind").isin("number", "email"), number).when(F.col("kind") == "name", name).otherwise(address)
         graph = joined.select("kind", "context", "shape", "word", "n", "pii_type", "seeded", F.least(F.lit(1.0), F.greatest("seeded", fresh)).alias("score"))
         if turn < rounds - 1:
             graph = cut_lineage(graph)
@@ -245,11 +275,8 @@ def find_pii(
         .agg(F.max(F.struct("score", "pii_type")).alias("best"))
         .select("kind", "context", "shape", "word", "best.score", "best.pii_type")
     )
-    scored = found.where("kind <> 'email'").join(best, ["kind", "context", "shape", "word"])
-    columns = [id_col, "pii_type", "pii_text", "start", "end", "score"]
-    items = scored.select(*columns).unionByName(
-        found.where("kind = 'email'").withColumns({"score": F.lit(1.0), "pii_type": F.lit("email")}).select(*columns)
-    )
+    named = found.withColumn("kind", F.when(F.col("kind") == "loose", "address").otherwise(F.col("kind")))
+    items = named.join(best, ["kind", "context", "shape", "word"]).select(id_col, "pii_type", "pii_text", "start", "end", "score")
     by_text = items.distinct().groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "score", "pii_type", "pii_text")).alias("all"))
     return by_text.select(id_col, F.explode(_without_overlaps(F.col("all"))).alias("x")).select(
         id_col, "x.pii_type", "x.pii_text", "x.start", "x.end", "x.score"

@@ -23,6 +23,7 @@ TEXTS = [
     "Call (212) 555-0116 before noon.\nCall (213) 555-0117 before noon.\nCall +1 214-555-0118 now.",
     "She lives at 12b Oak Street, flat 4. The shop is in Elm Street.",
     "Write to a.b [at] mill [dot] example or c@d.test, a@b = c@d, lib@7.1.5, @handle",
+    "Write to e.f@mill.example again.",
 ]
 
 
@@ -44,11 +45,24 @@ def test_items_and_decoys(spark, given):
         (9, "phone", "(213) 555-0117"),
         (9, "phone", "+1 214-555-0118"),
         (10, "street_address", "12b Oak Street"),
-        (11, "email", "a.b [at] mill [dot] example"),
+        (11, "email", "a.b [at] mill [dot] example"),  # written out: its context brings it in
         (11, "email", "c@d.test"),
+        (12, "email", "e.f@mill.example"),
     }
 
 
+def test_addresses_go_through_the_graph(spark, given):
+    texts = [f"Send the parcel to {i} Oak Street, flat {i}. Thanks." for i in range(1, 9)]
+    texts += ["Send the parcel to 14 Barrow Close, please.", *[f"Send the parcel to {n} Alder Close, please." for n in (15, 18, 19, 21, 23)], "We met near 16 Alder Close yesterday."]
+    texts += [f"The server said status {400 + i} Error Drive again." for i in range(30)]
+    texts += [f"We read about page Chapter {i} there." for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id bigint, content string")
+    got = {r.pii_text: r.score for r in find_pii(df, given).where("pii_type = 'street_address'").collect()}
+    assert {t for t in got if "Oak" in t} == {f"{i} Oak Street" for i in range(1, 9)}
+    assert {t for t in got if "Oak" not in t} == {"14 Barrow Close", *(f"{n} Alder Close" for n in (15, 16, 18, 19, 21, 23))}  # a street word no list has
+    assert got["16 Alder Close"] < 1.0
+
+
 def test_mask_changes_only_the_items(spark, given):
     df = spark.createDataFrame([(1, "x 🙂 Write to c@d.test now"), (2, None), (3, "nothing")], "page_id bigint, content string")
     masked = {r.page_id: r.masked for r in mask_pii(df, find_pii(df, given)).collect()}
