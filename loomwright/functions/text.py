@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The characters that Unicode-aware strip removes.
 WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 STRIP_PATTERN = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
+# Fixed value: the pre-token pattern that byte-level vocabularies were made with.
+BYTE_BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 
@@ -51,12 +53,44 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]")).cast("bigint")
 
 
+def token_count(text: Column, tokenizer: Callable[[], Callable[[list[str]], list[int]]]) -> Column:
+    """Tokens of a text as bigint, null for null; ``tokenizer`` is called once per worker and gives a function from texts to counts."""
+
+    @F.pandas_udf("bigint")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = tokenizer()
+        for batch in batches:
+            own = batch.dropna()
+            yield pd.Series(count(own.tolist()), index=own.index, dtype="Int64").reindex(batch.index)
+
+    return run(text)
+
+
+def byte_pairs(path: str, pattern: str = BYTE_BPE_PATTERN) -> Callable[[], Callable[[list[str]], list[int]]]:
+    """For :func:`token_count`: a byte-level vocabulary file (a base64 token and its rank in each line) that every executor can read."""
+
+    def load() -> Callable[[list[str]], list[int]]:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+        encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        return lambda texts: [len(ids) for ids in encoding.encode_ordinary_batch(texts, num_threads=1)]
+
+    return load
+
+
 def underscored(text: Column) -> Column:
     return F.regexp_replace(text, f"[{WHITESPACE}]+", "_")
 
 
 def classifier_text(text: Column, lower: bool = True, newline: str = " __newline__ ", split_punctuation: bool = True) -> Column:
-    """As a bag-of-words classifier reads it: newlines named, ends stripped, lower case, punctuation on its own."""
+    """As a bag-of-words classifier reads it: newlines named, ends stripped, lower case, punctuation on its own.
+
+    Fixed values: the name of a newline and the punctuation marks.
+    """
     out = F.replace(strip(text), F.lit("\n"), F.lit(newline))
     out = F.lower(out) if lower else out
     out = strip(out)
@@ -93,10 +127,20 @@ def language_model_text(text: Column, lower: bool = True, accents: bool = True,
 def shared_prefix(a: Column, b: Column, strip_whitespace: bool = True) -> Column:
     """The longest common prefix; null if either text is null."""
     a, b = (strip(a), strip(b)) if strip_whitespace else (a, b)
-    size = F.least(F.length(a), F.length(b))
+    size = F.when(a.isNotNull() & b.isNotNull(), F.least(F.length(a), F.length(b)))
     differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x.eqNullSafe(y)), F.lit(False))
     end = F.when(differs == 0, size).otherwise(F.least(differs - 1, size))
-    return F.when(size == 0, F.when(a.isNotNull() & b.isNotNull(), F.lit(""))).otherwise(F.substring(a, F.lit(1), end.cast("int")))
+    return F.when(size == 0, F.lit("")).otherwise(F.substring(a, F.lit(1), end.cast("int")))
+
+
+def with_shared_prefix(df: DataFrame, a: str, b: str, prefix: str, suffix_a: str | None = None, suffix_b: str | None = None, strip_whitespace: bool = True) -> DataFrame:
+    """``prefix``, and what follows it in either text where a suffix column is named; null if either text is null."""
+    left, right = (strip(F.col(c)) if strip_whitespace else F.col(c) for c in (a, b))
+    new = {prefix: shared_prefix(F.col(a), F.col(b), strip_whitespace)}
+    for name, text in ((suffix_a, left), (suffix_b, right)):
+        if name:
+            new[name] = F.substring(text, F.length(new[prefix]) + 1, F.length(text))
+    return df.withColumns(new)
 
 
 def truncated(text: Column, length: int = 250) -> Column:

@@ -6,8 +6,11 @@ of the same contract is trained from the table, or a backend is passed in.
 
 from __future__ import annotations
 
+import math
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -114,6 +117,90 @@ def unigram_perplexity(df: DataFrame, id_col: str, field: str) -> DataFrame:
     return df.select(id_col).join(scored, id_col, "left").select(id_col, F.coalesce("words", F.lit(0)).alias("words"), F.round(F.pow(F.lit(10.0), -F.col("s") / F.col("words")), 1).alias("perplexity"))
 
 
+class ArpaModel:
+    """An n-gram language model in the ARPA format, scored with back-off; one line holds log10 probability, words and log10 back-off."""
+
+    def __init__(self, lines: Iterable[str]) -> None:
+        self.grams: dict[tuple[str, ...], tuple[float, float]] = {}
+        order = 0
+        for line in lines:
+            line = line.rstrip("\n")
+            if line.startswith("\\"):
+                order = int(line[1:].partition("-")[0]) if "-grams:" in line else 0
+            elif order and line.strip():
+                parts = line.split("\t") if "\t" in line else line.split()
+                words = parts[1].split() if "\t" in line else parts[1 : 1 + order]
+                rest = parts[2:] if "\t" in line else parts[1 + order :]
+                self.grams[tuple(words)] = (float(parts[0]), float(rest[0]) if rest else 0.0)
+        self.order = max(map(len, self.grams), default=0)
+
+    @classmethod
+    def load(cls, path: str) -> ArpaModel:
+        with open(path, encoding="utf-8") as lines:
+            return cls(lines)
+
+    def _word(self, context: tuple[str, ...], word: str) -> float:
+        back = 0.0
+        while True:
+            found = self.grams.get((*context, word))
+            if found is not None:
+                return back + found[0]
+            if not context:
+                return back + self.grams.get(("<unk>",), (-100.0, 0.0))[0]
+            back += self.grams.get(context, (0.0, 0.0))[1]
+            context = context[1:]
+
+    def perplexity(self, text: str) -> float:
+        """10 ** (-mean log10 probability), the end of the sentence included."""
+        words = [*text.split(), "</s>"]
+        known = [w if (w,) in self.grams else "<unk>" for w in words]
+        path = ["<s>", *known]
+        total = sum(self._word(tuple(path[max(0, i - self.order + 2) : i + 1]), known[i]) for i in range(len(known)))
+        return 10.0 ** (-total / len(known))
+
+
+def arpa_perplexity(df: DataFrame, field: str, new_column: str, path: str, prepare: Callable[[str], str] | None = None) -> DataFrame:
+    """``new_column``: perplexity by an ARPA file that every executor can read, loaded once per worker; null for null.
+
+    ``prepare`` may cut a text into the model's pieces, joined by blanks.
+    """
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = ArpaModel.load(path)
+        for batch in batches:
+            yield batch.map(lambda t: model.perplexity(prepare(t) if prepare else t), na_action="ignore").astype(float)
+
+    return df.withColumn(new_column, run(F.col(field)))
+
+
+def write_arpa_bigrams(df: DataFrame, field: str, path: str) -> None:
+    """A bigram model of a text column (absolute discounting by a half), written on the driver: its size is that of the vocabulary and its pairs."""
+    words = df.where(F.col(field).isNotNull()).select(F.concat(F.array(F.lit("<s>")), F.filter(F.split(F.trim(field), r"\s+"), lambda w: w != ""), F.array(F.lit("</s>"))).alias("w"))
+    pairs = words.select(F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> struct(w[i - 1] as a, w[i] as b))")).alias("p")).groupBy("p.a", "p.b").count()
+    own: dict[str, dict[str, int]] = {}
+    for a, b, n in pairs.toLocalIterator():
+        own.setdefault(a, {})[b] = n
+    single: dict[str, int] = {}
+    for nexts in own.values():
+        for b, n in nexts.items():
+            single[b] = single.get(b, 0) + n
+    total = sum(single.values()) + len(single) + 1
+    with open(path, "w", encoding="utf-8") as out:
+        print(f"\\data\\\nngram 1={len(single) + 2}\nngram 2={sum(map(len, own.values()))}\n\n\\1-grams:", file=out)
+        print(f"{math.log10(1 / total)}\t<unk>\t0.0", file=out)
+        for w in sorted({*single, "<s>"}):
+            back = 0.5 * len(own[w]) / sum(own[w].values()) if w in own else 1.0
+            print(f"{math.log10((single.get(w, 0) + 1) / total)}\t{w}\t{math.log10(back)}", file=out)
+        print("\n\\2-grams:", file=out)
+        for a in sorted(own):
+            size = sum(own[a].values())
+            for b, n in sorted(own[a].items()):
+                low = 0.5 * len(own[a]) / size * (single[b] + 1) / total
+                print(f"{math.log10((n - 0.5) / size + low)}\t{a} {b}", file=out)
+        print("\n\\end\\", file=out)
+
+
 class EmbeddingBackend(Protocol):
     def load(self) -> None: ...
     def embed(self, texts: list[str]) -> np.ndarray: ...
@@ -186,37 +273,194 @@ def with_embeddings(df: DataFrame, field: str, backend: EmbeddingBackend, new_co
     return df.withColumn(new_column, run(F.col(field)))
 
 
+class SessionEmbedding:
+    """A backend over a local inference session: ``make`` gives ``(encode, run)`` once per worker.
+
+    ``encode`` turns a text into token ids, ``run`` a padded batch of ids and
+    its mask into one vector for each token; the tokens' mean is the vector of
+    the text.  :func:`onnx_session` makes the pair for an ONNX model.
+    """
+
+    def __init__(self, make: Callable[[], tuple[Callable[[str], list[int]], Callable[[np.ndarray, np.ndarray], np.ndarray]]], most: int = 512) -> None:
+        self.make, self.most = make, most
+
+    def load(self) -> None:
+        self._encode, self._run = self.make()
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        ids = [self._encode(t)[: self.most] or [0] for t in texts]
+        width = max(map(len, ids))
+        padded = np.array([own + [0] * (width - len(own)) for own in ids], dtype=np.int64)
+        mask = np.array([[1] * len(own) + [0] * (width - len(own)) for own in ids], dtype=np.int64)
+        hidden = np.asarray(self._run(padded, mask), dtype=np.float64)
+        return (hidden * mask[:, :, None]).sum(1) / mask.sum(1, keepdims=True)
+
+
+def onnx_session(model_path: str, tokenizer_path: str) -> tuple[Callable, Callable]:
+    """For :class:`SessionEmbedding`, of files that every executor can read; needs onnxruntime and tokenizers."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = 1  # one core a task
+    session = onnxruntime.InferenceSession(model_path, options)
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    wanted = {i.name for i in session.get_inputs()}
+
+    def run(ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
+        return session.run(None, {k: v for k, v in given.items() if k in wanted})[0]
+
+    return lambda text: tokenizer.encode(text).ids, run
+
+
+class ServiceEmbedding:
+    """A backend over a remote service: ``post`` sends a batch of texts and returns their vectors, or raises."""
+
+    def __init__(self, post: Callable[[list[str]], list[list[float]]], batch: int = 64, attempts: int = 3, pause: float = 1.0) -> None:
+        self.post, self.batch, self.attempts, self.pause = post, batch, attempts, pause
+
+    def load(self) -> None:
+        pass
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.batch):
+            for attempt in range(self.attempts):
+                try:
+                    out += self.post(texts[i : i + self.batch])
+                    break
+                except Exception:
+                    if attempt == self.attempts - 1:
+                        raise
+                    time.sleep(self.pause * 2**attempt)
+        return np.array(out, dtype=np.float64)
+
+
+BACKENDS |= {"session": SessionEmbedding, "service": ServiceEmbedding}
+
+
 class TextBackend(Protocol):
-    """A service that answers prompts; ``choices`` limits the answers. None is a failed request."""
+    """A service that answers prompts; ``choices`` limits the answers. None is a failed request.
+
+    It may raise :class:`RateLimited` where the service asks for a pause.
+    """
 
     def answer(self, prompts: list[str], choices: Sequence[str] | None = None) -> list[str | None]: ...
 
 
-def answered(df: DataFrame, prompt_col: str, new_column: str, backend: TextBackend, choices: Sequence[str] | None = None, attempts: int = 3, requests_per_second: float | None = None, batch_rows: int = 64) -> DataFrame:
-    """``new_column``: the backend's answers, asked in batches per partition with retries and a request rate.
+class RateLimited(Exception):
+    """The service wants a pause; nothing was answered."""
+
+
+class KeywordBackend:
+    """A stand-in without a service: the first choice whose rule's words occur after the first blank line, else the last choice.
+
+    Without choices it repeats what stands after the blank line.
+    """
+
+    def __init__(self, rules: dict[str, Sequence[str]] | None = None) -> None:
+        self.rules = rules or {}
+
+    def answer(self, prompts: list[str], choices: Sequence[str] | None = None) -> list[str | None]:
+        texts = [p.partition("\n\n")[2] for p in prompts]
+        if not choices:
+            return texts
+        return [next((c for c in choices if any(w in t for w in self.rules.get(c, ()))), choices[-1]) for t in texts]
+
+
+class RequestBudget:
+    """Requests and tokens of the last minute, for one worker: :meth:`wait` sleeps until both limits allow more."""
+
+    def __init__(self, requests_per_minute: float | None, tokens_per_minute: float | None, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
+        self.limits = (requests_per_minute, tokens_per_minute)
+        self.clock, self.sleep = clock, sleep
+        self.left = [x or 0.0 for x in self.limits]
+        self.at = clock()
+
+    def wait(self, requests: int, tokens: int) -> None:
+        while True:
+            now = self.clock()
+            passed, self.at = now - self.at, now
+            late = 0.0
+            for i, (limit, need) in enumerate(zip(self.limits, (requests, tokens))):
+                if limit:
+                    self.left[i] = min(limit, self.left[i] + limit * passed / 60)
+                    late = max(late, (min(need, limit) - self.left[i]) * 60 / limit)
+            if late <= 1e-9:
+                break
+            self.sleep(late)
+        for i, need in enumerate((requests, tokens)):
+            if self.limits[i]:
+                self.left[i] -= min(need, self.limits[i])
+
+
+@dataclass(frozen=True)
+class RequestSettings:
+    """How a service is asked.
+
+    Rates are meant per task: divide a global limit by the tasks that run at
+    once.  Up to ``at_once`` batches of a task are under way together; tokens
+    are taken as a quarter of the characters.  After :class:`RateLimited` a task
+    pauses and asks again, which costs no attempt.
+    """
+
+    attempts: int = 3
+    requests_per_minute: float | None = None
+    tokens_per_minute: float | None = None
+    batch_rows: int = 64
+    at_once: int = 4
+    pause: float = 15.0
+    most_pauses: int = 20
+
+
+def _ask(prompts: list[str], backend: TextBackend, choices: Sequence[str] | None, s: RequestSettings, budget: RequestBudget) -> list[str | None]:
+    """The answers to some prompts, in their order."""
+    answers: list[str | None] = [None] * len(prompts)
+    waiting, pauses = list(range(len(prompts))), 0
+    for _ in range(s.attempts):
+        todo, failed = [waiting[k : k + s.batch_rows] for k in range(0, len(waiting), s.batch_rows)], []
+        with ThreadPoolExecutor(s.at_once) as pool:
+            while todo:
+                under_way = []
+                for rows in todo[: s.at_once]:
+                    own = [prompts[i] for i in rows]
+                    budget.wait(len(own), sum(map(len, own)) // 4)
+                    under_way.append((rows, pool.submit(backend.answer, own, choices)))
+                todo = todo[s.at_once :]
+                for rows, reply in under_way:
+                    try:
+                        for i, a in zip(rows, reply.result()):
+                            answers[i] = a
+                            if a is None:
+                                failed.append(i)
+                    except RateLimited:
+                        pauses += 1
+                        if pauses > s.most_pauses:
+                            failed += rows
+                        else:
+                            budget.sleep(s.pause)
+                            todo.append(rows)
+        waiting = failed
+        if not waiting:
+            break
+    return answers
+
+
+def answered(df: DataFrame, prompt_col: str, new_column: str, backend: TextBackend, choices: Sequence[str] | None = None, settings: RequestSettings = RequestSettings()) -> DataFrame:
+    """``new_column``: the backend's answers, asked in batches with retries, rates and pauses; null for failed requests.
 
-    The rate is meant per partition: divide a global limit by their number.
     Null prompts are not sent.  Write the result down before it is used twice.
     """
-    schema = df.drop(new_column).withColumn(new_column, F.lit("")).schema
+    schema = df.drop(new_column).withColumn(new_column, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        budget = RequestBudget(settings.requests_per_minute, settings.tokens_per_minute)
         for batch in batches:
             answers: list[str | None] = [None] * len(batch)
-            waiting = [i for i, p in enumerate(batch[prompt_col]) if isinstance(p, str)]
-            for _ in range(attempts):
-                failed = []
-                for k in range(0, len(waiting), batch_rows):
-                    rows = waiting[k : k + batch_rows]
-                    for i, a in zip(rows, backend.answer([batch[prompt_col].iloc[i] for i in rows], choices)):
-                        answers[i] = a
-                        if a is None:
-                            failed.append(i)
-                    if requests_per_second:
-                        time.sleep(len(rows) / requests_per_second)
-                waiting = failed
-                if not waiting:
-                    break
+            asked = [i for i, p in enumerate(batch[prompt_col]) if isinstance(p, str)]
+            for i, a in zip(asked, _ask([batch[prompt_col].iloc[i] for i in asked], backend, choices, settings, budget)):
+                answers[i] = a
             yield batch.assign(**{new_column: answers})[schema.names]
 
     return df.drop(new_column).mapInPandas(run, schema)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from loomwright.functions.templates import rendered, rendered_each
 from loomwright.operators import conversations as cv
 from loomwright.operators import dedup, filters, frame, models
 from loomwright.operators import vectors as ve
-from loomwright.plans.lineage import cut_lineage, spread
+from loomwright.plans.lineage import cut_lineage, shared_folder, spread
 from loomwright.sources import io
 from loomwright.streaming.ingest import stream_ingest, write_parquet
 
@@ -97,8 +96,8 @@ def byte_counts(spark, folder):
 
 
 @_query("SELECT doc_id, n_chars, lang FROM documents WHERE lang = 'en' AND n_chars BETWEEN 200 AND 900 AND NOT contains(lower(text), 'recipe')")
-def detect_then_filter(spark, folder):
-    """By the stored label and length, as the SQL does; detect_then_filter_texts detects."""
+def filter_by_label(spark, folder):
+    """By the stored label and length; detect_then_filter detects and measures."""
     return _docs(spark, folder).where((F.col("lang") == "en") & F.col("n_chars").between(200, 900) & ~F.contains(F.lower("text"), F.lit("recipe"))).select("doc_id", "n_chars", "lang")
 
 
@@ -115,8 +114,8 @@ def lang_predict(spark, folder):
 
 
 @_query()
-def detect_then_filter_texts(spark, folder):
-    """As detect_then_filter, but by the detected language and the length of the text itself; stored labels play no part."""
+def detect_then_filter(spark, folder):
+    """By the detected language and the length of the text itself; stored labels play no part."""
     n_chars = F.length("text").cast("bigint").alias("n_chars")
     kept = _languages(spark, folder).where((F.col("language") == "en") & F.length("text").between(200, 900) & ~F.contains(F.lower("text"), F.lit("recipe")))
     return kept.select("doc_id", n_chars, "language")
@@ -132,9 +131,83 @@ def head_rows(spark, folder):
     return frame.head(frame.select_columns(_docs(spark, folder), ["doc_id", "source"]), 10, "doc_id")
 
 
+@_query("SELECT doc_id, text, n_chars * 2 AS n_chars, upper(source) AS source_upper FROM documents")
+def mapped_columns(spark, folder):
+    """One column replaced, one added."""
+    docs = frame.select_columns(_docs(spark, folder), ["doc_id", "text", "source", "n_chars"])
+    return frame.drop_column(frame.mapped(docs, {"n_chars": F.col("n_chars") * 2, "source_upper": F.upper("source")}), "source")
+
+
+@_query("SELECT doc_id, lang, n_chars, source, site, added_at FROM documents")
+def dropped_column(spark, folder):
+    return frame.drop_column(frame.drop_column(_docs(spark, folder), "text"), "absent")
+
+
+@_query("SELECT doc_id, source FROM documents WHERE doc_id IN (1001, 1005, 1008, 1013, 99999999)")
+def selected_rows(spark, folder):
+    return frame.select_columns(frame.select_rows(_docs(spark, folder), [1001, 1005, 1008, 1013, 99999999], "doc_id"), ["doc_id", "source"])
+
+
+@_query("SELECT doc_id, n_chars, source FROM documents WHERE doc_id = 1007")
+def row_by_index(spark, folder):
+    docs = frame.select_columns(_docs(spark, folder), ["doc_id", "n_chars", "source"])
+    row = frame.row_at(docs, 1007, "doc_id")
+    return spark.createDataFrame([row] if row else [], docs.schema)
+
+
+@_query("SELECT doc_id, source FROM documents")
+def shuffled_docs(spark, folder):
+    """Every row once, in a random order."""
+    return frame.shuffled(_docs(spark, folder), 7, "doc_id").select("doc_id", "source")
+
+
+@_query("SELECT doc_id, 1::BIGINT AS sides FROM documents")
+def split_sides(spark, folder):
+    """On how many sides of a train, validation and test split each key comes to lie, over two passes."""
+    both = frame.hash_split(_docs(spark, folder), "doc_id").select("doc_id", "split").unionByName(frame.hash_split(_docs(spark, folder).orderBy("text"), "doc_id").select("doc_id", "split"))
+    return both.groupBy("doc_id").agg(F.count_distinct("split").alias("sides"))
+
+
+@_query("SELECT coalesce(source, 'none') AS source, least(count(*), 5) AS drawn, 5::BIGINT AS draws FROM documents GROUP BY 1")
+def examples_per_source(spark, folder):
+    """Five examples of each source without and with replacement, counted."""
+    docs = _docs(spark, folder).select("doc_id", F.coalesce("source", F.lit("none")).alias("source"))
+    once = frame.sampled_per_group(docs, "source", 5, "doc_id").groupBy("source").agg(F.count_distinct("doc_id").alias("drawn"))
+    again = frame.drawn_per_group(docs, "source", 5, "doc_id").groupBy("source").agg(F.count_distinct("draw").alias("draws"))
+    return once.join(again, "source")
+
+
 _WS = tx.WHITESPACE
 
 
+@_query(f"SELECT doc_id, regexp_replace(text, '[{_WS}]+', '_', 'g') AS text FROM documents")
+def underscored_text(spark, folder):
+    return _docs(spark, folder).select("doc_id", tx.underscored(F.col("text")).alias("text"))
+
+
+@_query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '^[{_WS}]+', '', 'g'), '[{_WS}]+$', '', 'g') AS text, upper(regexp_replace(site, '^[{_WS}]+|[{_WS}]+$', '', 'g')) AS site FROM documents")
+def chained_text(spark, folder):
+    return _docs(spark, folder).select("doc_id", tx.chained(F.col("text"), ["lstrip", "rstrip"]).alias("text"), tx.chained(F.col("site"), ["strip", "upper"]).alias("site"))
+
+
+@_query(r"SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]')) AS words FROM documents")
+def word_counts(spark, folder):
+    return _docs(spark, folder).select("doc_id", tx.word_count(F.col("text")).alias("words"))
+
+
+@_query()
+def token_counts(spark, folder):
+    """Tokens of each text under a vocabulary file."""
+    vocabulary = os.path.join(os.environ.get("LOOMWRIGHT_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
+    return spread(_docs(spark, folder).select("doc_id", "text")).select("doc_id", tx.token_count(F.col("text"), tx.byte_pairs(vocabulary)).alias("tokens"))
+
+
+@_query("SELECT doc_id, strip_accents(nfc_normalize(source)) AS source, strip_accents(nfc_normalize(site)) AS site FROM documents")
+def accents_stripped(spark, folder):
+    return _docs(spark, folder).select("doc_id", *[tx.strip_accents(F.col(c)).alias(c) for c in ("source", "site")])
+
+
+
 @_query(f"SELECT doc_id, regexp_replace(text, '^[{_WS}]+|[{_WS}]+$', '', 'g') AS text FROM documents")
 def trim_whitespace_text(spark, folder):
     return _docs(spark, folder).select("doc_id", tx.strip(F.col("text")).alias("text"))
@@ -149,17 +222,9 @@ _STRIPPED = f"regexp_replace({{0}}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
 
 
 @_query(
-    "SELECT doc_id, regexp_replace(" + _STRIPPED.format("lower(replace(" + _STRIPPED.format("text") + ", chr(10), ' __newline__ '))") + ", '([.!?,''/()])', ' \\1 ', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x{024f}]')"
+    "SELECT doc_id, regexp_replace(" + _STRIPPED.format("lower(replace(" + _STRIPPED.format("text") + ", chr(10), ' __newline__ '))") + ", '([.!?,''/()])', ' \\1 ', 'g') AS text FROM documents"
 )
 def classifier_preprocess(spark, folder):
-    """Latin texts: beyond, the engines' lower cases differ."""
-    latin = _docs(spark, folder).where(~F.col("text").rlike("[^\\x00-\\x{024f}]"))
-    return latin.select("doc_id", tx.classifier_text(F.col("text")).alias("text"))
-
-
-@_query()
-def classifier_preprocess_all(spark, folder):
-    """Every row; classifier_preprocess is the part that its SQL can be compared on."""
     return _docs(spark, folder).select("doc_id", tx.classifier_text(F.col("text")).alias("text"))
 
 
@@ -178,6 +243,12 @@ def exact_dedup_docs(spark, folder):
     return dedup.exact_dedup(_docs(spark, folder), ["text"], "doc_id").select("source", "site", "doc_id")
 
 
+@_query("SELECT md5(content) AS digest, min(fetched_at) AS fetched_at FROM web_docs GROUP BY content")
+def exact_dedup_pages(spark, folder):
+    """One row of each content, the first fetched; many are fetched at once or at no known time."""
+    return dedup.exact_dedup(_table(spark, folder, "web_docs"), ["content"], "fetched_at").select(F.md5("content").alias("digest"), "fetched_at")
+
+
 @_query("SELECT doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY text, source ORDER BY doc_id) AS n FROM documents WHERE n_chars > 100 AND lang = 'en') WHERE n = 1 ORDER BY doc_id LIMIT 500")
 def ingest_bounded(spark, folder):
     kept = io.ingest(_docs(spark, folder), "doc_id", [F.col("n_chars") > 100, F.col("lang") == "en"], ["text", "source"], 500)
@@ -212,6 +283,15 @@ def shared_prefix_lengths(spark, folder):
     return numbered.join(before, "n").select("doc_id", F.length(tx.shared_prefix(F.col("a"), F.col("b"))).cast("bigint").alias("shared"))
 
 
+@_query("""SELECT chat_id, received_at, a, b, left(a, k) AS prefix, substr(a, k + 1) AS rest_a, substr(b, k + 1) AS rest_b FROM (
+  SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN coalesce(list_max(list_filter(range(1, least(length(a), length(b))::BIGINT + 1), lambda i: left(a, i) = left(b, i))), 0) END AS k
+  FROM (SELECT chat_id, received_at, conversation[1].content AS a, conversation[2].content AS b FROM std_chats))""")
+def shared_prefix_of_turns(spark, folder):
+    """What the first two messages of a chat begin with, and what follows it in each."""
+    turns = _chats(spark, folder).select("chat_id", "received_at", F.get("conversation", F.lit(0))["content"].alias("a"), F.get("conversation", F.lit(1))["content"].alias("b"))
+    return tx.with_shared_prefix(turns, "a", "b", "prefix", "rest_a", "rest_b", strip_whitespace=False)
+
+
 # -- vectors -------------------------------------------------------------------------
 
 _EMB = "(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -275,6 +355,91 @@ def semdedup_survivors(spark, folder):
     return ve.semdedup(_emb(spark, folder), "label", "embedding", "vec_id", threshold=0.3).select("vec_id")
 
 
+@_query(f"""WITH RECURSIVE {_CENTERS}, e AS (SELECT a, b FROM ({_PAIRS}) WHERE s > 0.3), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS n, a AS m FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a), g AS (SELECT n, min(m) AS component FROM r GROUP BY n),
+k AS (SELECT component, arg_max(n, (round(list_inner_product(x.v, c.center), 12), -n)) AS kept FROM g JOIN {_EMB} x ON x.vec_id = g.n JOIN c ON c.label = x.label GROUP BY component)
+SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT n FROM g JOIN k USING (component) WHERE n <> kept)""")
+def semdedup_nearest(spark, folder):
+    """Of each group the row most like its cluster's centre stays."""
+    return ve.semdedup(_emb(spark, folder), "label", "embedding", "vec_id", threshold=0.3, strategy="nearest").select("vec_id")
+
+
+@_query("SELECT DISTINCT label::BIGINT AS label FROM embeddings WHERE label >= 0")
+def cluster_ids(spark, folder):
+    return frame.value_counts(_emb(spark, folder).where("label >= 0"), "label").select(F.col("value").cast("bigint").alias("label"))
+
+
+@_query(f"SELECT label::BIGINT AS cluster, round(min(s), 4) AS least, round(max(s), 4) AS greatest FROM ({_PAIRS}) GROUP BY label")
+def similarity_ranges(spark, folder):
+    r = ve.similarity_range(_emb(spark, folder), "label", "embedding", "vec_id")
+    return r.select(F.col("cluster").cast("bigint").alias("cluster"), F.round("least", 4).alias("least"), F.round("greatest", 4).alias("greatest"))
+
+
+@_query(f"WITH {_CENTERS} SELECT label::BIGINT AS cluster, arg_max(vec_id, (round(s, 9), -vec_id)) AS vec_id FROM (SELECT e.vec_id, e.label, list_inner_product(e.v, c.center) AS s FROM {_EMB} e JOIN c USING (label)) GROUP BY label")
+def medoid_rows(spark, folder):
+    return ve.medoids(_emb(spark, folder), "label", "embedding", "vec_id").select(F.col("cluster").cast("bigint").alias("cluster"), "vec_id")
+
+
+@_query(f"""WITH {_CENTERS}, p AS (SELECT vec_id, any_value(real) AS real, arg_min(label, (s, label)) AS guess FROM (
+  SELECT e.vec_id, e.label AS real, c.label, -list_inner_product(e.v, c.center) AS s FROM {_EMB} e, c) GROUP BY vec_id)
+SELECT label::BIGINT AS label, (count(*) FILTER (WHERE real = label))::BIGINT AS rows, (count(*) FILTER (WHERE guess = label))::BIGINT AS predicted_rows,
+  (count(*) FILTER (WHERE guess = label AND real = label))::BIGINT AS hits,
+  round((count(*) FILTER (WHERE guess = label AND real = label)) / nullif(count(*) FILTER (WHERE guess = label), 0), 6) AS precision,
+  round((count(*) FILTER (WHERE guess = label AND real = label)) / nullif(count(*) FILTER (WHERE real = label), 0), 6) AS recall
+FROM p, (SELECT DISTINCT label FROM embeddings) GROUP BY label""")
+def class_report(spark, folder):
+    """Precision and recall of each class, for the nearest centre as the guess."""
+    emb = _emb(spark, folder)
+    classes = ve.centroids(emb, "label", "embedding").withColumnRenamed("cluster", "label")
+    guesses = ve.nearest_class(emb, classes, "embedding", "vec_id").withColumnRenamed("label", "guess")
+    report = frame.class_report(emb.join(guesses, "vec_id"), "label", "guess")
+    return report.select(F.col("label").cast("bigint").alias("label"), "rows", "predicted_rows", "hits", "precision", "recall")
+
+
+@_query("SELECT count(*) AS rows, 0::BIGINT AS misplaced, 10::BIGINT AS centers FROM embeddings")
+def kmeans_nearest_center(spark, folder):
+    """K-means puts every row to the nearest of its centres."""
+    emb = _emb(spark, folder)
+    centers = ve.cluster_centers(emb, "embedding", 10)
+    squares = F.aggregate("center", F.lit(0.0), lambda s, x: s + x * x)
+    # |v - c| is least where v.c - |c|^2 / 2 is greatest: one more coordinate says so
+    longer = centers.select(F.col("cluster").alias("label"), F.concat("center", F.array(-squares / 2)).alias("center"))
+    points = emb.select("vec_id", F.concat(F.col("embedding").cast("array<double>"), F.array(F.lit(1.0))).alias("v"))
+    near = ve.nearest_class(points, longer, "v", "vec_id")
+    both = ve.cluster(emb, "embedding", 10, cluster_col="__cluster").join(near.withColumnRenamed("label", "near"), "vec_id")
+    return both.agg(F.count("*").alias("rows"), F.count_if(F.col("__cluster") != F.col("near")).alias("misplaced")).withColumn("centers", F.lit(centers.count()))
+
+
+@_query("SELECT vec_id, round(sqrt(list_inner_product(v, v)), 4) AS length FROM " + _EMB)
+def svd_keeps_lengths(spark, folder):
+    """All singular vectors are a rotation: lengths stay."""
+    return ve.reduce_dimensions(_emb(spark, folder), "embedding", 64, "svd").select("vec_id", F.round(vx.norm(F.col("embedding_svd_64")), 4).alias("length"))
+
+
+@_query(f"SELECT a.vec_id AS vec_id, round(sqrt(list_sum(list_transform(list_zip(a.v, m.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 4) AS length FROM {_EMB} a, (SELECT list(x ORDER BY pos) AS m FROM (SELECT pos, avg(x) AS x FROM (SELECT unnest(v) AS x, unnest(range(1, 65)) AS pos FROM {_EMB}) GROUP BY pos)) m")
+def pca_keeps_distances(spark, folder):
+    """All principal components are a rotation about the mean: distances to it stay."""
+    return ve.reduce_dimensions(_emb(spark, folder), "embedding", 64).select("vec_id", F.round(vx.norm(F.col("embedding_pca_64")), 4).alias("length"))
+
+
+@_query("SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, label::VARCHAR AS label FROM embeddings")
+def plotted_points(spark, folder):
+    emb = _emb(spark, folder).select("vec_id", "label", F.slice("embedding", 1, 2).alias("two"))
+    points = ve.plot_points(emb.withColumn("label", F.concat_ws(" ", "vec_id", "label")), "two", "label")
+    parts = F.split("label", " ")
+    return points.select(parts[0].cast("bigint").alias("vec_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), parts[1].alias("label"))
+
+
+@_query("SELECT count(*) AS rows, true AS within FROM embeddings WHERE label >= 0")
+def tuned_retention(spark, folder):
+    """Whether the tuned threshold, applied to all clusters, keeps the wanted four fifths within the tolerance."""
+    emb = _emb(spark, folder).where("label >= 0")
+    threshold = ve.tune_threshold(emb, "label", "embedding", "vec_id", 0.8)
+    n = emb.count()
+    kept = n - ve.duplicates(emb, "label", "embedding", "vec_id", threshold).count()
+    return spark.createDataFrame([(n, abs(kept / n - 0.8) <= max(0.01, 1 / n) + 1e-9)], "rows bigint, within boolean")
+
+
 @_query()
 def semdedup_tuned(spark, folder):
     emb = _emb(spark, folder)
@@ -385,15 +550,8 @@ def conv_standardize_last(spark, folder):
     return _conv(spark, folder, lambda df: _rendered()(cv.standardize_last_turn(df, "conversation", "assistant")), "rendered")
 
 
-@_query(f"SELECT chat_id, received_at, '<S>Be brief.' || rtrim({_RENDER.format('conversation')}) AS rendered FROM std_chats WHERE len(conversation) > 0 AND coalesce(conversation[1].role, '') IN ('user', 'assistant', 'system')")
+@_query(f"SELECT chat_id, received_at, regexp_replace('<S>Be brief.' || array_to_string(list_transform(conversation, lambda m: {_MARK} || coalesce(m.content, '')), ''), '^[{_WS}]+|[{_WS}]+$', '', 'g') AS rendered FROM std_chats")
 def conv_add_system(spark, folder):
-    df = _chats(spark, folder).where(F.size("conversation") > 0).where(F.coalesce(F.col("conversation")[0]["role"], F.lit("")).isin("user", "assistant", "system"))
-    return _rendered()(cv.add_initial_system_message(df, "conversation", "Be brief.")).select("chat_id", "received_at", "rendered")
-
-
-@_query()
-def conv_add_system_all(spark, folder):
-    """Every row; conv_add_system is the part that its SQL can be compared on."""
     return _conv(spark, folder, lambda df: _rendered()(cv.add_initial_system_message(df, "conversation", "Be brief.")), "rendered")
 
 
@@ -432,29 +590,30 @@ def prompt_render_loop(spark, folder):
 # -- models --------------------------------------------------------------------------
 
 
-@_query("""
-WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS word FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')),
+@_query(r"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents),
 f AS (SELECT word, count(*) AS f FROM w GROUP BY 1), s AS (SELECT sum(f) AS total, count(*) AS kinds FROM f),
 l AS (SELECT word, log10((f + 1) / (total + kinds)) AS lp FROM f, s)
-SELECT d.doc_id, count(w.word) AS words, round(pow(10, -sum(lp) / count(w.word)), 1) AS perplexity
-FROM (SELECT doc_id FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')) d LEFT JOIN w USING (doc_id) LEFT JOIN l USING (word) GROUP BY 1
+SELECT d.doc_id, count(w.word) AS words, round(pow(10, -sum(lp) / count(w.word)), 1) AS perplexity FROM documents d LEFT JOIN w USING (doc_id) LEFT JOIN l USING (word) GROUP BY 1
 """)
 def perplexity_unigram(spark, folder):
-    """ASCII texts, where both engines mean the same by a word."""
-    ascii_only = _docs(spark, folder).where(~F.col("text").rlike("[^\\x00-\\x7f]"))
-    return models.unigram_perplexity(ascii_only, "doc_id", "text")
+    """Every text, by the word frequencies of all texts."""
+    return models.unigram_perplexity(_docs(spark, folder), "doc_id", "text")
 
 
 @_query()
-def perplexity_unigram_all(spark, folder):
-    """Every row, by the word frequencies of all texts; perplexity_unigram is the part that its SQL can be compared on."""
-    return models.unigram_perplexity(_docs(spark, folder), "doc_id", "text")
+def perplexity_bigram(spark, folder):
+    """Every text by an ARPA file, which the language samples are made into first."""
+    path = _folder(spark, "bigrams").removeprefix("file:") + ".arpa"
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    models.write_arpa_bigrams(_table(spark, folder, "lang_samples").withColumn("t", F.lower("sample_text")), "t", path)
+    return models.arpa_perplexity(spread(_docs(spark, folder).select("doc_id", F.lower("text").alias("text"))), "text", "perplexity", path).select("doc_id", "perplexity")
 
 
 @_query()
 def text_classifier(spark, folder):
     docs = _docs(spark, folder).where("text is not null")
-    model, accuracy = models.train_text_classifier(docs.withColumn("text", F.left("text", F.length("text"))), "text", "source", "doc_id")
+    model, accuracy = models.train_text_classifier(docs, "text", "source", "doc_id")
     return models.classify_text(docs, model, "text", "predicted").select("doc_id", "predicted", F.lit(round(accuracy, 4)).alias("accuracy"))
 
 
@@ -471,6 +630,45 @@ def hashed_embeddings(spark, folder):
     return models.with_embeddings(docs, "text", models.embedding_backend("hashed"), "v", normalize=True).select("doc_id", "v")
 
 
+@_query("SELECT doc_id, CASE WHEN text IS NOT NULL THEN 48 END::BIGINT AS dims, CASE WHEN text IS NOT NULL THEN CASE WHEN regexp_matches(text, '[^ \t\n\x0b\f\r]') THEN 1.0 ELSE 0.0 END END::DOUBLE AS length FROM documents")
+def embedding_lengths(spark, folder):
+    """Unit vectors of the wanted size; blank texts have no direction."""
+    docs = spread(_docs(spark, folder).select("doc_id", "text"))
+    v = models.with_embeddings(docs, "text", models.embedding_backend("hashed", dim=48), "v", normalize=True)
+    return v.select("doc_id", F.when(F.col("v").isNotNull(), F.size("v")).cast("bigint").alias("dims"), F.round(vx.norm(F.col("v")), 4).alias("length"))
+
+
+_RULES = {"True": ["recipe", "shelf"], "cooking": ["recipe"], "storage": ["shelf"]}
+
+
+@_query("SELECT doc_id, CASE WHEN contains(text, 'recipe') OR contains(text, 'shelf') THEN 'True' ELSE 'False' END AS tag FROM documents")
+def ai_tags(spark, folder):
+    """Tags by a stand-in service that looks for words."""
+    docs = spread(_docs(spark, folder).select("doc_id", "text"))
+    return models.ai_tagger(docs, "text", {"home": "cooking or storage"}, models.KeywordBackend(_RULES)).select("doc_id", F.col("__ai_tag__home").alias("tag"))
+
+
+@_query("SELECT doc_id, CASE WHEN contains(text, 'recipe') THEN 'cooking' WHEN contains(text, 'shelf') THEN 'storage' ELSE 'other' END AS kind FROM documents")
+def ai_classes(spark, folder):
+    docs = spread(_docs(spark, folder).select("doc_id", "text"))
+    return models.ai_classifier(docs, "kind", "text", ["cooking", "storage", "other"], models.KeywordBackend(_RULES)).select("doc_id", "kind")
+
+
+@_query("SELECT doc_id, trim(lower(coalesce(source, '') || ' at ' || coalesce(site, ''))) AS said FROM documents")
+def ai_columns(spark, folder):
+    docs = spread(_docs(spark, folder).select("doc_id", "source", "site"))
+    return models.ai_column(docs, "said", "Say\n\n{{source}} at {{site}}", ["source", "site"], models.KeywordBackend(), ["strip", "lower"]).select("doc_id", "said")
+
+
+@_query(f"""WITH {_CENTERS}, s AS (SELECT e.vec_id, e.label, row_number() OVER (PARTITION BY e.label ORDER BY round(list_inner_product(e.v, c.center), 9) DESC, e.vec_id) AS r FROM {_EMB} e JOIN c USING (label)),
+n AS (SELECT label, string_agg(vec_id::VARCHAR, chr(10) ORDER BY r) AS name FROM s WHERE r <= 3 GROUP BY label) SELECT vec_id, n.name FROM embeddings LEFT JOIN n USING (label)""")
+def ai_cluster_names(spark, folder):
+    """Each cluster named after its three rows nearest to the centre, by a stand-in that repeats what it is shown."""
+    emb = _emb(spark, folder)
+    examples = ve.cluster_info(emb, "label", "embedding", "vec_id", n_neighbors=3)
+    return models.ai_label_clusters(emb.select("vec_id", "label"), examples, "label", "name", ["vec_id"], models.KeywordBackend(), "Name\n\n{{examples}}").select("vec_id", "name")
+
+
 @_query()
 def html_to_text(spark, folder):
     page = F.concat(F.lit("<html><head><title>"), F.col("source"), F.lit("</title><script>x()</script></head><body><p>"), F.col("content"), F.lit("</p></body></html>"))
@@ -482,23 +680,56 @@ def html_to_text(spark, folder):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/loomwright-io/{name}-{os.getpid()}-{os.urandom(4).hex()}"
+    return f"{shared_folder(spark)}/{name}-{os.urandom(4).hex()}"
 
 
-@_query("SELECT doc_id, source, site FROM documents")
+@_query("SELECT doc_id, text, lang, source, n_chars, site, added_at FROM documents")
 def parquet_round_trip(spark, folder):
     path = _folder(spark, "docs") + ".parquet"
-    io.save(_docs(spark, folder).select("doc_id", "source", "site"), path)
+    io.save(_docs(spark, folder), path)
     return io.from_parquet(spark, path)
 
 
-@_query("SELECT chat_id, len(conversation) AS n FROM std_chats")
+_TURNS = "array_to_string(list_transform(conversation, lambda m: coalesce(m.role, '?') || '=' || coalesce(m.content, '?')), chr(10))"
+
+
+@_query(f"SELECT chat_id, len(conversation) AS n, {_TURNS} AS turns FROM std_chats")
 def jsonl_round_trip(spark, folder):
     path = _folder(spark, "chats") + ".jsonl"
     chats = _chats(spark, folder).select("chat_id", "conversation")
     io.save(chats, path)
-    return cv.with_length(io.from_jsonl(spark, path, chats.schema), "conversation", "n").select("chat_id", "n")
+    turns = F.array_join(F.transform("conversation", lambda m: F.concat(F.coalesce(m["role"], F.lit("?")), F.lit("="), F.coalesce(m["content"], F.lit("?")))), "\n")
+    return cv.with_length(io.from_jsonl(spark, path, chats.schema), "conversation", "n").select("chat_id", "n", turns.alias("turns"))
+
+
+@_query("SELECT doc_id, text, source FROM documents")
+def csv_round_trip(spark, folder):
+    path = _folder(spark, "docs") + ".csv"
+    docs = _docs(spark, folder).select("doc_id", "text", "source")
+    io.save(docs, path, null_value="\\N")
+    return io.from_csv(spark, path, docs.schema, null_value="\\N")
+
+
+@_query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def pandas_round_trip(spark, folder):
+    """Two small tables to the driver, joined there, and back."""
+    nation, region = _table(spark, folder, "nation").toPandas(), _table(spark, folder, "region").toPandas()
+    return io.from_pandas(spark, nation.merge(region, left_on="n_regionkey", right_on="r_regionkey")[["n_nationkey", "n_name", "r_name"]])
+
+
+@_query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS no, 'doc ' || doc_id AS name FROM documents")
+def hub_rows(spark, folder):
+    """A data set that a load function streams, as a hub would."""
+    ids = _docs(spark, folder).select("doc_id").orderBy("doc_id")
+    load = lambda path, split: ({"no": i, "name": f"{path} {r.doc_id}"} for i, r in enumerate(ids.toLocalIterator()))
+    return io.from_hub(spark, "doc", load=load, schema="no bigint, name string")
+
+
+@_query("SELECT DISTINCT url, CASE WHEN url LIKE 'https://%' THEN url WHEN url LIKE 'http://%' THEN 'https' || substr(url, 5) END AS target FROM web_docs")
+def redirected_urls(spark, folder):
+    """Where a stand-in service sends each url: http to https, the rest is unknown."""
+    head = lambda url: (200, None) if url.startswith("https://") else (308, "https" + url[4:]) if url.startswith("http://") else (404, None)
+    return io.redirected(_table(spark, folder, "web_docs").select("url").distinct(), "url", "target", head)
 
 
 @_query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_id) = 1")
@@ -508,7 +739,7 @@ def stream_dedup_events(spark, folder):
     source = _table(spark, folder, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(folder) if os.path.isfile(f"{folder}/events.parquet") else spark.readStream.schema(source.schema).parquet(f"{folder}/events.parquet")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    kept = stream_ingest(stream, "ts", [F.col("event_type") == "click"], ["event_id"], "40 days").select("event_id", "user_id", "event_type")
+    kept = stream_ingest(stream, "ts", [F.col("event_type") == "click"], ["event_id"], "1 hour").select("event_id", "user_id", "event_type")
     write_parquet(kept, path + "/out", path + "/state").awaitTermination()
     return spark.read.schema(kept.schema).parquet(path + "/out")
 

@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwright.operators.dedup import exact_dedup
+from loomwright.plans.lineage import shared_folder
 
 
-def from_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV with a header, quoted newlines included. For Latin-1 files pass ``encoding="ISO-8859-1"``."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding)
+def from_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, encoding: str = "UTF-8", null_value: str = "") -> DataFrame:
+    """A CSV with a header, quoted newlines included. For Latin-1 files pass ``encoding="ISO-8859-1"``.
+
+    ``null_value`` stands for null; where it is empty, empty texts are null too.
+    """
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).option("nullValue", null_value)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
@@ -33,7 +37,7 @@ def from_pandas(spark: SparkSession, frame: pd.DataFrame) -> DataFrame:
     return spark.createDataFrame(frame)
 
 
-def save(df: DataFrame, path: str, overwrite: bool = False) -> None:
+def save(df: DataFrame, path: str, overwrite: bool = False, null_value: str = "") -> None:
     """A directory of CSV, JSON lines or Parquet by the extension of ``path``; nested columns of a CSV are JSON strings."""
     kind = path.rsplit(".", 1)[-1].lower() if "." in path else ""
     if kind not in ("csv", "jsonl", "parquet"):
@@ -42,7 +46,7 @@ def save(df: DataFrame, path: str, overwrite: bool = False) -> None:
     if kind == "csv":
         nested = (T.ArrayType, T.StructType, T.MapType)
         flat = df.select(*[F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema])
-        flat.write.mode(writer_mode).option("header", True).option("escape", '"').csv(path)
+        flat.write.mode(writer_mode).option("header", True).option("escape", '"').option("nullValue", null_value).csv(path)
     elif kind == "jsonl":
         df.write.mode(writer_mode).option("ignoreNullFields", False).json(path)
     else:
@@ -60,7 +64,7 @@ def ingest(df: DataFrame, order_col: str, filters: Sequence[Column] = (), dedup_
 
 def fetched(df: DataFrame, url_col: str, output: str, fetch: Callable[[str], str | None]) -> DataFrame:
     """``output``: what ``fetch`` returns for each url, null if it fails or returns nothing."""
-    schema = df.withColumn(output, F.lit("").cast("string")).schema
+    schema = df.withColumn(output, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -75,6 +79,46 @@ def fetched(df: DataFrame, url_col: str, output: str, fetch: Callable[[str], str
     return df.mapInPandas(run, schema)
 
 
+def redirected(df: DataFrame, url_col: str, output: str, head: Callable[[str], tuple[int, str | None]]) -> DataFrame:
+    """``output``: where a url leads: the location that ``head`` (url to status and location) gives for 308, the url itself for 200, else null."""
+
+    def follow(url: str) -> str | None:
+        status, location = head(url)
+        return location if status == 308 else url if status == 200 else None
+
+    return fetched(df, url_col, output, follow)
+
+
+def from_hub(spark: SparkSession, path: str, split: str = "train", load: Callable[..., Iterator[dict]] | None = None, schema: T.StructType | str | None = None, max_rows: int | None = None, **options) -> DataFrame:
+    """A data set of a hub.
+
+    ``load(path, split, **options)`` gives its rows as dicts; without it the
+    ``datasets`` package is used where it is installed.  Rows are streamed to
+    Parquet in the shared folder first, in parts of bounded size.
+    """
+    import itertools
+    import uuid
+
+    if load is None:
+        try:
+            from datasets import load_dataset
+        except ImportError as e:
+            raise ImportError("from_hub needs the datasets package or a load function") from e
+        load = lambda p, s, **o: iter(load_dataset(p, split=s, streaming=True, **o))
+    rows = iter(load(path, split, **options))
+    rows = itertools.islice(rows, max_rows) if max_rows is not None else rows
+    target = f"{shared_folder(spark)}/hub-{uuid.uuid4().hex}"
+    while part := list(itertools.islice(rows, 50_000)):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(target)
+        schema = schema or spark.read.parquet(target).schema
+    if schema is None:
+        raise ValueError("the data set is empty; pass a schema")
+    try:
+        return spark.read.schema(schema).parquet(target)
+    except Exception:
+        return spark.createDataFrame([], schema)
+
+
 def extracted(spark: SparkSession, path: str, extract: Callable[[bytes], str | None]) -> DataFrame:
     """``(path, text)`` of binary files, by a pluggable extractor; words hyphenated at line ends are joined."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

@@ -222,16 +222,16 @@ def test_whole_tables_are_covered(spark, tmp_path):
     words = {i: re.findall(r"[^\W_]+", (t or "").lower()) for i, t in enumerate(texts)}
     f = Counter(w for ws in words.values() for w in ws)
     size = sum(f.values()) + len(f)
-    got = run("perplexity_unigram_all")
+    got = run("perplexity_unigram")
     assert set(got) == set(words)
     for i, ws in words.items():
         want = 10 ** (-sum(math.log10((f[w] + 1) / size) for w in ws) / len(ws)) if ws else None
         assert got[i].words == len(ws) and got[i].perplexity == (want if want is None else pytest.approx(want, abs=0.051))
-    shown = {i: r.text for i, r in run("classifier_preprocess_all").items()}
+    shown = {i: r.text for i, r in run("classifier_preprocess").items()}
     assert shown == {0: "one two ,  two ! ", 1: "élan vital two", 2: "привет мир", 3: None, 4: "", 5: "日本 two"}
     chats = spark.createDataFrame(CHATS + [(5, [("odd", "z")])], "chat_id bigint, conversation array<struct<role:string,content:string>>")
     chats.withColumn("received_at", F.lit(None).cast("timestamp")).write.parquet(f"{tmp_path}/std_chats.parquet")
-    added = {i: r.rendered for i, r in run("conv_add_system_all").items()}
+    added = {i: r.rendered for i, r in run("conv_add_system").items()}
     assert added == {1: "<S>Be brief.<S>s<U>a<A>b<U>c", 2: "<S>Be brief.", 3: None, 4: "<S>Be brief.<U>x<U>unknowny", 5: "<S>Be brief.unknownz"}
 
 
@@ -244,7 +244,7 @@ def test_languages_are_detected_from_the_text(spark, tmp_path):
     spark.createDataFrame([(*d, -1) for d in docs], "doc_id bigint, text string, lang string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: [tuple(r) for r in queries()[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
     assert run("lang_predict") == [(1, "en"), (2, "en"), (3, "de"), (4, None), (5, None), (6, "en"), (7, "en")]
-    assert run("detect_then_filter_texts") == [(1, len(long_en), "en"), (2, len(long_en), "en")]
+    assert run("detect_then_filter") == [(1, len(long_en), "en"), (2, len(long_en), "en")]
 
 
 def test_classifier_reads_word_pairs(spark):
