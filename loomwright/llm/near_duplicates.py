@@ -45,7 +45,8 @@ class DuplicateSettings:
     With ``blocks`` blocks of ``block_values`` values a pair of similarity s is
     missed with a chance of (1 - s**block_values)**blocks: 0.20 % at 0.50,
     4e-5 at 0.55, 1e-7 at 0.60 with the defaults.  ``blocks_at_once`` blocks are
-    joined in one turn, which bounds the disk.  Up to ``run_rows`` texts that are
+    joined in one turn, which bounds the disk, in tasks of about ``bucket_keys``
+    keys (16 bytes each).  Up to ``run_rows`` texts that are
     equal in a block are paired at once; more go through the pivot distances of
     the whole sketch, ``deal_rows`` against ``deal_rows``.  ``slack`` is the margin, in
     similarity, that the sketch test leaves where every bin is filled (three
@@ -56,7 +57,8 @@ class DuplicateSettings:
     threshold: float = 0.5
     blocks: int = 196
     block_values: int = 5
-    blocks_at_once: int = 28
+    blocks_at_once: int = 49
+    bucket_keys: int = 2_000_000
     run_rows: int = 256
     deal_rows: int = 4_000
     references: int = 10
@@ -200,8 +202,12 @@ def _signatures(df: DataFrame, id_col: str, text_col: str, s: DuplicateSettings)
     return spread(narrow).mapInArrow(run, "id bigint, h binary, t bigint, keys binary, sketch binary")
 
 
-def _block_keys(df: DataFrame, first: int, last: int) -> DataFrame:
-    """``(t, key)`` of the blocks from ``first`` to before ``last``, each text once a task."""
+def _block_keys(df: DataFrame, first: int, last: int, buckets: int) -> DataFrame:
+    """``(bucket, data)``: keys of the blocks from ``first`` to before ``last`` with their texts, each text once a task.
+
+    Keys are dealt to buckets here and travel packed, a row for each bucket and
+    batch: first all keys, then all texts, 8 bytes each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()  # at most the texts of one split
@@ -210,14 +216,21 @@ def _block_keys(df: DataFrame, first: int, last: int) -> DataFrame:
             new = [i for i, x in enumerate(t) if not (x in known or known.add(x))]
             if not new:
                 continue
-            keys = batch.column(1).take(pa.array(new)).to_pylist()
-            six = np.frombuffer(b"".join(k[first * 6 : last * 6] for k in keys), dtype=np.uint8).reshape(-1, 6)
+            packed = batch.column(1).take(pa.array(new)).to_pylist()
+            six = np.frombuffer(b"".join(k[first * 6 : last * 6] for k in packed), dtype=np.uint8).reshape(-1, 6)
             eight = np.zeros((len(six), 8), dtype=np.uint8)
             eight[:, :6] = six
+            keys = eight.view(np.int64).ravel()
             names = np.repeat(np.array(t, dtype=np.int64)[new], last - first)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(eight.view(np.int64).ravel())], names=["t", "key"])
+            bucket = (keys % buckets).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            keys, names, bucket = keys[order], names[order], bucket[order]
+            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            ends = np.r_[starts[1:], len(bucket)]
+            data = [keys[i:j].tobytes() + names[i:j].tobytes() for i, j in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(data, pa.binary())], names=["bucket", "data"])
 
-    return df.select("t", "keys").mapInArrow(run, "t bigint, key bigint")
+    return df.select("t", "keys").mapInArrow(run, "bucket int, data binary")
 
 
 def _pairs_of_runs(keys: np.ndarray, t: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,44 +250,18 @@ def _pairs_of_runs(keys: np.ndarray, t: np.ndarray, most: int) -> tuple[np.ndarr
 
 def _meeting(keys: DataFrame, most: int) -> DataFrame:
     """``(a, b, key)``: pairs of texts with an equal key (key null), and the rows of keys that over ``most`` texts share (b null)."""
-    ordered = keys.repartition("key").sortWithinPartitions("key", "t")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
 
-        def out(k: np.ndarray, t: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b, hot, texts = _pairs_of_runs(k, t, most)
-            for i in range(0, len(a), 1 << 20):
-                n = len(a[i : i + (1 << 20)])
-                yield pa.RecordBatch.from_arrays([pa.array(a[i : i + n]), pa.array(b[i : i + n]), pa.nulls(n, pa.int64())], schema=shape)
-            if len(hot):
-                yield pa.RecordBatch.from_arrays([pa.array(texts), pa.nulls(len(hot), pa.int64()), pa.array(hot)], schema=shape)
+    def run(table: pa.Table) -> pa.Table:
+        both = [np.frombuffer(x, dtype=np.int64).reshape(2, -1) for x in table.column("data").to_pylist()]
+        k, t = np.concatenate(both, axis=1)
+        order = np.lexsort((t, k))
+        k, t = k[order], t[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
+        a, b, hot, texts = _pairs_of_runs(k[new], t[new], most)
+        none = [np.r_[np.zeros(len(a), bool), np.ones(len(hot), bool)], np.r_[np.ones(len(a), bool), np.zeros(len(hot), bool)]]
+        return pa.table({"a": np.r_[a, texts], "b": pa.array(np.r_[b, 0 * texts], mask=none[0]), "key": pa.array(np.r_[0 * a, hot], mask=none[1])})
 
-        k, t, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # the run that is not over yet; the key of one that goes on as hot
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, t = np.r_[k, batch.column(1).to_numpy()], np.r_[t, batch.column(0).to_numpy()]
-            new = np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])]
-            k, t = k[new], t[new]
-            if hot is not None:
-                n = int(np.searchsorted(k, hot, side="right"))
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array(t[:n]), pa.nulls(n, pa.int64()), pa.array(k[:n])], schema=shape)
-                if n == len(k):
-                    k, t = k[:0], t[:0]
-                    continue
-                k, t, hot = k[n:], t[n:], None
-            open_at = int(np.searchsorted(k, k[-1], side="left"))
-            yield from out(k[:open_at], t[:open_at])
-            k, t = k[open_at:], t[open_at:]
-            if len(k) > most:
-                hot = int(k[0])
-                yield from out(k, t)
-                k, t = k[:0], t[:0]
-        yield from out(k, t)
-
-    return ordered.select("t", "key").mapInArrow(run, "a bigint, b bigint, key bigint")
+    return keys.groupBy("bucket").applyInArrow(run, "a bigint, b bigint, key bigint")
 
 
 def _sketch_arrays(column: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -359,9 +346,9 @@ def _verified(pairs: DataFrame, s: DuplicateSettings) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a", "b").mapInPandas(run, "a bigint, b bigint, similarity double")
 
 
-def _near_in_blocks(texts: DataFrame, sketches: DataFrame, first: int, last: int, s: DuplicateSettings) -> DataFrame:
+def _near_in_blocks(texts: DataFrame, sketches: DataFrame, first: int, last: int, buckets: int, s: DuplicateSettings) -> DataFrame:
     """``(a, b)`` of the texts that are equal in one of the blocks and near by their sketches."""
-    met = cut_lineage(_meeting(_block_keys(texts, first, last), s.run_rows).distinct())
+    met = cut_lineage(_meeting(_block_keys(texts, first, last, buckets), s.run_rows).distinct())
     pairs = met.where("b is not null")
     with_sketches = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
     near = _near_sketches(with_sketches, s)
@@ -391,11 +378,13 @@ def near_duplicate_links(
     reps = cut_lineage(one.groupBy("h").agg(F.min("id").alias("rep")).select("h", "rep", short.alias("t")))
     members = cut_lineage(one.join(reps, "h").select("id", "rep"))
     sketches = cut_lineage(texts.select("t", "sketch").dropDuplicates(["t"]))
+    spark = df.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * s.blocks_at_once // s.bucket_keys))
     near = None
     for first in range(0, s.blocks, s.blocks_at_once):
-        found = _near_in_blocks(texts, sketches, first, min(first + s.blocks_at_once, s.blocks), s)
+        found = _near_in_blocks(texts, sketches, first, min(first + s.blocks_at_once, s.blocks), buckets, s)
         near = found if near is None else near.unionByName(found)
-        df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the turn
     named = reps.select("t", "rep")
     pairs = near.distinct().join(named.toDF("a", "rep_a"), "a").join(named.toDF("b", "rep_b"), "b")
     near = cut_lineage(pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).where("a < b"))

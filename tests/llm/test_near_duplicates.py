@@ -85,16 +85,17 @@ def test_rows_that_many_texts_share_lose_nothing(spark):
     assert all(r.recall >= 0.95 for r in recall)
 
 
-def test_runs_over_batches(spark):
+def test_runs_of_equal_keys(spark):
     rng = random.Random(2)
+
+    def met(rows, most):
+        packed = [[(t, k) for t, k in rows if k % 2 == half] for half in (0, 1)]
+        parts = [(half, np.array([[k for _, k in own], [t for t, _ in own]], dtype=np.int64).tobytes()) for half, all_ in enumerate(packed) for own in (all_[:50], all_[50:]) if own]
+        return _meeting(spark.createDataFrame(parts, "bucket int, data binary"), most).collect()
+
     keys = [(t, rng.choice([7, 8, 9, t])) for t in range(3000)]
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
-    try:
-        met = _meeting(spark.createDataFrame(keys + keys[:500], "t bigint, key bigint").repartition(4), 100).collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert {(r.a, r.key) for r in met if r.b is None} == {(t, k) for t, k in keys if k in (7, 8, 9)}
-    small = _meeting(spark.createDataFrame([(1, 5), (2, 5), (3, 5), (1, 5), (4, 6), (5, 6), (6, 1)], "t bigint, key bigint"), 100).collect()
+    assert {(r.a, r.key) for r in met(keys + keys[:500], 100) if r.b is None} == {(t, k) for t, k in keys if k in (7, 8, 9)}
+    small = met([(1, 5), (2, 5), (3, 5), (1, 5), (4, 6), (5, 6), (6, 1)], 100)
     assert {(r.a, r.b) for r in small} == {(1, 2), (1, 3), (2, 3), (4, 5)} and len(small) == 4
 
 
