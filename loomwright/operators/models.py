@@ -26,21 +26,33 @@ from pyspark.sql import functions as F
 from loomwright.functions.templates import fields_of, rendered
 from loomwright.functions.text import chained, classifier_text
 from loomwright.operators.frame import hash_split
+from loomwright.plans.lineage import cut_lineage
 
 
-def train_text_classifier(df: DataFrame, field: str, label: str, id_col: str, path: str | None = None, features: int = 1 << 16, seed: int = 42) -> tuple[PipelineModel, float]:
-    """(model, accuracy on the test split): word uni- and bigrams, untuned logistic regression."""
-    rows = hash_split(df.where(F.col(label).isNotNull() & F.col(field).isNotNull()), id_col, 0.0, 0.1, seed).withColumn("__text", classifier_text(F.col(field)))
+def train_text_classifier(
+    df: DataFrame, field: str, label: str, id_col: str, path: str | None = None, features: int = 1 << 16, seed: int = 42, penalties: Sequence[float] = (0.0, 0.01)
+) -> tuple[PipelineModel, float]:
+    """(model, accuracy on the test split): logistic regression over word uni- and bigrams.
+
+    Of several ``penalties`` the one that does best on a validation split of the
+    training rows is taken, and the model is fitted with it on all of these.
+    """
+    rows = hash_split(df.where(F.col(label).isNotNull() & F.col(field).isNotNull()), id_col, 0.1, 0.1, seed).withColumn("__text", classifier_text(F.col(field)))
     train, test = rows.where("split <> 'test'"), rows.where("split = 'test'")
     indexer = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="skip").fit(train)
-    stages = [
+    words = [
         indexer, RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"\s+"), NGram(n=2, inputCol="__words", outputCol="__pairs"),
         SQLTransformer(statement="SELECT *, concat(__words, __pairs) AS __terms FROM __THIS__"),
-        HashingTF(inputCol="__terms", outputCol="__features", numFeatures=features), LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__prediction", maxIter=20),
-        IndexToString(inputCol="__prediction", outputCol="predicted", labels=indexer.labels),
+        HashingTF(inputCol="__terms", outputCol="__features", numFeatures=features),
     ]
-    model = Pipeline(stages=stages).fit(train)
-    accuracy = MulticlassClassificationEvaluator(labelCol="__label", predictionCol="__prediction", metricName="accuracy").evaluate(model.transform(test))
+    judge = MulticlassClassificationEvaluator(labelCol="__label", predictionCol="__prediction", metricName="accuracy")
+    ready = cut_lineage(PipelineModel(words).transform(train).select("__label", "__features", "split"))
+    fit = lambda part, penalty: LogisticRegression(featuresCol="__features", labelCol="__label", predictionCol="__prediction", maxIter=20, regParam=penalty).fit(part)
+    best = penalties[0]
+    if len(penalties) > 1 and ready.where("split = 'validation'").limit(1).count():
+        best = max(penalties, key=lambda penalty: judge.evaluate(fit(ready.where("split = 'train'"), penalty).transform(ready.where("split = 'validation'"))))
+    model = PipelineModel([*words, fit(ready, best), IndexToString(inputCol="__prediction", outputCol="predicted", labels=indexer.labels)])
+    accuracy = judge.evaluate(model.transform(test))
     if path:
         model.write().overwrite().save(path)
     return model, float(accuracy)
@@ -250,8 +262,11 @@ def split_tokens(tokens: Sequence, most: int = 512, strategy: str = "even") -> l
     return [tokens[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def with_embeddings(df: DataFrame, field: str, backend: EmbeddingBackend, new_column: str = "__embedding", normalize: bool = False, split_strategy: str = "even", most: int = 512) -> DataFrame:
-    """``new_column``: the mean of the chunks' vectors, weighted by their words; null for null. The model is loaded once per worker."""
+def with_embeddings(df: DataFrame, field: str, backend: EmbeddingBackend, new_column: str = "__embedding", normalize: bool = False, split_strategy: str = "even", most: int = 512, at_once: int = 256) -> DataFrame:
+    """``new_column``: the mean of the chunks' vectors, weighted by their words; null for null.
+
+    The model is loaded once per worker and asked for up to ``at_once`` chunks of a batch of texts together.
+    """
     if new_column in df.columns:
         raise ValueError(f"{new_column} exists")
 
@@ -259,15 +274,22 @@ def with_embeddings(df: DataFrame, field: str, backend: EmbeddingBackend, new_co
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         backend.load()
         for batch in batches:
-            out = []
-            for text in batch:
-                if text is None:
-                    out.append(None)
-                    continue
-                parts = split_tokens(text.split() or [""], most, split_strategy)
-                vectors = backend.embed([" ".join(p) for p in parts])
-                v = np.average(vectors, axis=0, weights=[len(p) for p in parts])
-                out.append(v / max(np.linalg.norm(v), 1e-12) if normalize else v)
+            # the chunks of all texts of a batch go to the backend together, in order of their length
+            parts = [None if text is None else split_tokens(text.split() or [""], most, split_strategy) for text in batch]
+            flat = [(i, chunk) for i, own in enumerate(parts) for chunk in own or ()]
+            flat.sort(key=lambda x: len(x[1]))
+            owner = np.array([i for i, _ in flat], dtype=np.int64)
+            weight = np.array([len(chunk) for _, chunk in flat], dtype=float)
+            vectors = [backend.embed([" ".join(chunk) for _, chunk in flat[k : k + at_once]]) for k in range(0, len(flat), at_once)]
+            out: list = [None] * len(batch)
+            if vectors:
+                x = np.concatenate(vectors)
+                sums, sizes = np.zeros((len(batch), x.shape[1])), np.zeros(len(batch))
+                np.add.at(sums, owner, x * weight[:, None])
+                np.add.at(sizes, owner, weight)
+                for i in np.unique(owner):
+                    v = sums[i] / sizes[i]
+                    out[i] = v / max(np.linalg.norm(v), 1e-12) if normalize else v
             yield pd.Series(out)
 
     return df.withColumn(new_column, run(F.col(field)))

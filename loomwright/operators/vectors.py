@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -82,19 +83,20 @@ def cluster_info(df: DataFrame, cluster_col: str, vector_col: str, id_col: str,
     return ranked.select(F.col(cluster_col).alias("cluster"), "rank", id_col, *[F.left(F.col(c).cast("string"), F.lit(truncate)).alias(c) for c in context]).join(sizes, "cluster")
 
 
-def _block_pairs(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, block: int) -> DataFrame:
+def _block_pairs(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, block: int, core_col: str | None = None) -> DataFrame:
     """Rows of each cluster, dealt by hash to blocks of about ``block`` rows and sent to every pair of blocks they are in.
 
     Vectors of different lengths never meet; noise, null clusters, vectors and ids are left out.
     """
     rows = df.where((F.col(cluster_col) >= 0) & F.col(vector_col).isNotNull() & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(cluster_col).alias("cluster"), F.size(vector_col).alias("dim"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    core = F.col(core_col) if core_col else F.lit(None).cast("double")
+    rows = rows.select(F.col(cluster_col).alias("cluster"), F.size(vector_col).alias("dim"), F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), core.alias("core"))
     sizes = rows.groupBy("cluster", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
     dealt = rows.join(sizes, ["cluster", "dim"]).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    both = dealt.select("cluster", "dim", "id", "v", "own", other)
-    return both.select("cluster", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "v")
+    both = dealt.select("cluster", "dim", "id", "v", "core", "own", other)
+    return both.select("cluster", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "v", "core")
 
 
 def _scores(table: pa.Table, metric: str) -> tuple[np.ndarray, np.ndarray, Callable[[int, int], np.ndarray]]:
@@ -177,9 +179,35 @@ def _spanning(s: Callable[[int, int], np.ndarray], n: int) -> tuple[np.ndarray,
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), np.array(w)
 
 
-def linkage(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metric: str = "dot", block: int = 2_000) -> DataFrame:
+def core_similarity(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, k: int, metric: str = "cosine", block: int = 2_000) -> DataFrame:
+    """``(id, core)``: the similarity of each row to its k-th most similar other row of its cluster, or to the last there is."""
+    similarity(metric)
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        ids, own, scores = _scores(table, metric)
+        rows, values = [], []
+        for start in range(0, len(own), 1024):
+            s = np.nan_to_num(scores(start, start + 1024), nan=-np.inf)
+            here = np.arange(start, start + len(s))
+            s[(own[here][:, None] == own[None, :]) if low != high else (here[:, None] == np.arange(len(own))[None, :])] = -np.inf
+            take = min(k, s.shape[1])
+            top = np.partition(s, s.shape[1] - take, axis=1)[:, s.shape[1] - take :]
+            i, j = np.nonzero(top > -np.inf)
+            rows.append(here[i])
+            values.append(top[i, j])
+        return pa.table({"id": ids.take(pa.array(np.concatenate(rows))), "s": pa.array(np.concatenate(values))})
+
+    near = _block_pairs(df, cluster_col, vector_col, id_col, block).groupBy("cluster", "dim", "low", "high").applyInArrow(run, f"id {kind}, s double")
+    return near.groupBy("id").agg(F.sort_array(F.collect_list("s"), asc=False).alias("all")).select("id", F.get("all", F.least(F.lit(k), F.size("all")) - 1).alias("core"))
+
+
+def linkage(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metric: str = "dot", block: int = 2_000, core_col: str | None = None) -> DataFrame:
     """``(cluster, a, b, score)``: a maximum spanning tree of the rows of each cluster.
 
+    With ``core_col`` a pair counts as no more similar than either row is to its core.
+
     At any threshold the pairs above it join just what the tree's edges above
     it join.  Every pair of blocks gives its own tree, as an edge that is not
     in it is in no larger one; the edges of a cluster, a few for each row and
@@ -191,6 +219,10 @@ def linkage(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metri
 
     def grow(table: pa.Table) -> pa.Table:
         ids, own, scores = _scores(table, metric)
+        if core_col:
+            core = table.sort_by("id").column("core").to_numpy()
+            plain = scores
+            scores = lambda a, b: np.minimum(np.minimum(plain(a, b), core[None, :]), core[a:b, None])
         a, b, w = _spanning(scores, len(own))
         return pa.table({"cluster": pa.repeat(table.column("cluster")[0], len(a)), "a": ids.take(pa.array(a)), "b": ids.take(pa.array(b)), "score": pa.array(w, pa.float64())})
 
@@ -211,7 +243,7 @@ def linkage(df: DataFrame, cluster_col: str, vector_col: str, id_col: str, metri
                 kept.append(i)
         return table.take(pa.array(kept, pa.int64()))
 
-    edges = _block_pairs(df, cluster_col, vector_col, id_col, block).groupBy("cluster", "dim", "low", "high").applyInArrow(grow, shape)
+    edges = _block_pairs(df, cluster_col, vector_col, id_col, block, core_col).groupBy("cluster", "dim", "low", "high").applyInArrow(grow, shape)
     return edges.groupBy("cluster").applyInArrow(join, shape)
 
 
@@ -290,36 +322,160 @@ def retention_by_cluster(df: DataFrame, kept: DataFrame, cluster_col: str) -> Da
     return joined.withColumn("retention", F.round(F.col("kept") / F.col("size"), 6))
 
 
-def cluster(df: DataFrame, vector_col: str, n_clusters: int | None = None, method: str = "kmeans", cluster_col: str = "__cluster", id_col: str | None = None, overwrite: bool = False, seed: int = 42, threshold: float = 0.5, min_cluster_size: int = 25) -> DataFrame:
-    """``cluster_col``: k-means (also for minibatch_kmeans), or density: connected groups of close rows, noise -1.
+def condensed_labels(a: np.ndarray, b: np.ndarray, distance: np.ndarray, n: int, least: int) -> np.ndarray:
+    """A label or -1 for each of n rows, from a spanning tree: the most persistent groups of at least ``least`` rows.
+
+    Edges are joined from the shortest on.  Seen from the top, a group splits
+    where both sides have ``least`` rows; otherwise it only loses rows.  A group
+    is worth the sum, over its rows, of how much longer (in 1 / distance) they
+    stay in it; of nested groups the more worthy generation is taken.  The whole
+    is never a group.
+    """
+    order = np.argsort(distance, kind="stable")
+    child, size, at = np.zeros((n, 2), dtype=np.int64), np.ones(2 * n, dtype=np.int64), np.zeros(2 * n)
+    root, parent = list(range(2 * n)), list(range(2 * n))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    node = n
+    for e in order.tolist():
+        x, y = find(int(a[e])), find(int(b[e]))
+        if x == y:
+            continue
+        child[node - n] = x, y
+        at[node], size[node] = distance[e], size[x] + size[y]
+        parent[x] = parent[y] = node
+        node += 1
+    label = np.full(n, -1, dtype=np.int64)
+    density = lambda d: 1 / max(d, 1e-12)
+
+    def rows_of(top: int) -> list[int]:
+        out, stack = [], [top]
+        while stack:
+            x = stack.pop()
+            if x < n:
+                out.append(x)
+            else:
+                stack += child[x - n].tolist()
+        return out
+
+    born, worth, inside, below = [], [], [], []  # of each group
+    tops = [x for x in range(node) if parent[x] == x and (x >= n or size[x] > 1)]
+    stack = []
+    for top in tops:
+        born.append(0.0), worth.append(0.0), inside.append(top), below.append([])
+        stack.append((top, len(born) - 1))
+    roots = set(range(len(born)))
+    while stack:
+        x, group = stack.pop()
+        while x >= n:
+            here = density(at[x])
+            left, right = child[x - n].tolist()
+            large = [y for y in (left, right) if size[y] >= least]
+            if len(large) == 2:
+                worth[group] += (here - born[group]) * int(size[x])
+                for y in large:
+                    born.append(here), worth.append(0.0), inside.append(y), below.append([])
+                    below[group].append(len(born) - 1)
+                    stack.append((y, len(born) - 1))
+                break
+            gone = sum(int(size[y]) for y in (left, right) if size[y] < least)
+            worth[group] += (here - born[group]) * gone
+            if not large:
+                break
+            x = large[0]
+    best, chosen = list(worth), [True] * len(born)
+    for group in range(len(born) - 1, -1, -1):  # children come after their parents
+        if below[group]:
+            nested = sum(best[c] for c in below[group])
+            if nested > worth[group] or group in roots:
+                best[group], chosen[group] = nested, False
+        elif group in roots:
+            chosen[group] = False
+    stack = list(roots)
+    number = 0
+    while stack:
+        group = stack.pop()
+        if chosen[group]:
+            label[rows_of(inside[group])] = number
+            number += 1
+        else:
+            stack += below[group]
+    return label
+
+
+def _density(df: DataFrame, vector_col: str, id_col: str, cluster_col: str, cells: int, least: int, seed: int) -> DataFrame:
+    """``(id, cluster)`` of the rows in a group of :func:`condensed_labels`, found in each of some k-means cells; cosine distance."""
+    rows = df.select(id_col, vector_col).where(F.col(vector_col).isNotNull())
+    features = rows.withColumn("__features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    placed = KMeans(k=cells, seed=seed, featuresCol="__features", predictionCol="__cell").fit(features).transform(features) if cells > 1 else features.withColumn("__cell", F.lit(0))
+    placed = cut_lineage(placed.drop("__features"))
+    core = core_similarity(placed, "__cell", vector_col, id_col, least).withColumnRenamed("id", id_col)
+    edges = linkage(placed.join(core, id_col), "__cell", vector_col, id_col, "cosine", core_col="core")
+    kind = df.schema[id_col].dataType.simpleString()
 
-    ``density`` stands where a hierarchical density method was; it is
-    single-linkage at one threshold inside k-means cells, not that method.
+    def run(table: pa.Table) -> pa.Table:
+        ids, code = np.unique(np.concatenate([table.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")]), return_inverse=True)
+        half = table.num_rows
+        label = condensed_labels(code[:half], code[half:], 1 - table.column("score").to_numpy(), len(ids), least)
+        kept = np.flatnonzero(label >= 0)
+        cell = table.column("cluster")[0].as_py()
+        return pa.table({"id": pa.array(ids[kept]), "c": pa.array(label[kept] * cells + cell)})
+
+    found = edges.groupBy("cluster").applyInArrow(run, f"id {kind}, c bigint")
+    return found.select(F.col("id").alias(id_col), F.col("c").alias(cluster_col))
+
+
+def cluster(
+    df: DataFrame, vector_col: str, n_clusters: int | None = None, method: str = "kmeans", cluster_col: str = "__cluster", id_col: str | None = None,
+    overwrite: bool = False, seed: int = 42, threshold: float = 0.5, min_cluster_size: int = 25, cell_rows: int = 20_000,
+) -> DataFrame:
+    """``cluster_col``: k-means (also for minibatch_kmeans), density or linkage.
+
+    ``density`` takes the most persistent groups of a hierarchy over mutual
+    reachability, in k-means cells of about ``cell_rows`` rows (``n_clusters``
+    of them where given); ``linkage`` the connected groups of rows more similar
+    than ``threshold``, in ``n_clusters`` cells (one where not given).  Both take
+    groups of at least ``min_cluster_size``, need ``id_col``, give noise -1, and
+    keep groups within their cell.
     """
     if cluster_col in df.columns and not overwrite:
         raise ValueError(f"{cluster_col} exists; pass overwrite=True")
-    if method not in ("kmeans", "minibatch_kmeans", "density"):
-        raise ValueError("method must be kmeans, minibatch_kmeans or density")
-    if n_clusters is None and method != "density":
-        raise ValueError("n_clusters is required")
+    if method not in ("kmeans", "minibatch_kmeans", "density", "linkage"):
+        raise ValueError("method must be kmeans, minibatch_kmeans, density or linkage")
     base = df.drop(cluster_col)
+    if method in ("density", "linkage"):
+        if id_col is None:
+            raise ValueError(f"{method} needs id_col")
+        if method == "density":
+            label = _density(base, vector_col, id_col, cluster_col, n_clusters or max(1, -(-base.count() // cell_rows)), min_cluster_size, seed)
+        else:
+            placed = cluster(base, vector_col, n_clusters, cluster_col=cluster_col, seed=seed) if n_clusters else base.withColumn(cluster_col, F.lit(0))
+            groups = connected_components(similar_pairs(placed, cluster_col, vector_col, id_col, threshold, "cosine"), "a", "b")
+            sizes = groups.groupBy("component").count().where(F.col("count") >= min_cluster_size)
+            label = groups.join(sizes, "component").select(F.col("node").alias(id_col), F.col("component").cast("bigint").alias(cluster_col))
+        return base.join(label, id_col, "left").withColumn(cluster_col, F.coalesce(cluster_col, F.lit(-1)))
+    if n_clusters is None:
+        raise ValueError("n_clusters is required")
     features = base.withColumn("__features", array_to_vector(F.col(vector_col).cast("array<double>")))
-    model = KMeans(k=n_clusters or 2, seed=seed, featuresCol="__features", predictionCol=cluster_col).fit(features)
-    out = model.transform(features).drop("__features")
-    if method != "density":
-        return out
-    if id_col is None:
-        raise ValueError("density needs id_col")
-    groups = connected_components(similar_pairs(out, cluster_col, vector_col, id_col, threshold, "cosine"), "a", "b")
-    sizes = groups.groupBy("component").count().where(F.col("count") >= min_cluster_size)
-    label = groups.join(sizes, "component").select(F.col("node").alias(id_col), F.col("component").cast("bigint").alias(cluster_col))
-    return base.join(label, id_col, "left").withColumn(cluster_col, F.coalesce(cluster_col, F.lit(-1)))
-
-
-def reduce_dimensions(df: DataFrame, vector_col: str, n_dims: int = 50, method: str = "pca", new_column: str | None = None) -> DataFrame:
-    """``<vector_col>_<method>_<n_dims>``: principal components (centred) or the right singular vectors (not centred)."""
-    if method not in ("pca", "incremental_pca", "svd"):
-        raise ValueError("method must be pca, incremental_pca or svd")
+    return KMeans(k=n_clusters, seed=seed, featuresCol="__features", predictionCol=cluster_col).fit(features).transform(features).drop("__features")
+
+
+def reduce_dimensions(df: DataFrame, vector_col: str, n_dims: int = 50, method: str = "pca", new_column: str | None = None, landmarks: int = 1_000, gamma: float | None = None) -> DataFrame:
+    """``<vector_col>_<method>_<n_dims>``: principal components (centred), right singular vectors (not centred), or kernel components.
+
+    ``kernel_pca`` uses a Gaussian kernel of width ``gamma`` (one over the
+    dimensions where not given) against ``landmarks`` rows drawn by a hash, all
+    rows where there are fewer; then it is exact.  Null vectors give null.
+    """
+    if method not in ("pca", "incremental_pca", "svd", "kernel_pca"):
+        raise ValueError("method must be pca, incremental_pca, svd or kernel_pca")
+    if method == "kernel_pca":
+        name = new_column or f"{vector_col}_{method}_{n_dims}"
+        return df.withColumn(name, _kernel_components(df.where(F.col(vector_col).isNotNull()), vector_col, n_dims, landmarks, gamma)(F.col(vector_col).cast("array<double>")))
     name = new_column or f"{vector_col}_{method}_{n_dims}"
     rows = df.withColumn("__raw", array_to_vector(F.col(vector_col).cast("array<double>")))
     if method == "svd":
@@ -353,6 +509,35 @@ def _right_singular(df: DataFrame, vector_col: str, n_dims: int) -> list[list[fl
     return (v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]).tolist()
 
 
+def _kernel_components(df: DataFrame, vector_col: str, n_dims: int, landmarks: int, gamma: float | None) -> Callable:
+    vectors = df.select(F.col(vector_col).cast("array<double>").alias("v"))
+    drawn = vectors.withColumn("h", F.xxhash64("v")).orderBy("h").limit(landmarks).toPandas()  # a bounded sample
+    marks = np.array(drawn["v"].tolist(), dtype=np.float64)
+    width = gamma if gamma is not None else 1 / max(marks.shape[-1], 1)
+
+    def kernel(x: np.ndarray) -> np.ndarray:
+        squares = (x * x).sum(1)[:, None] + (marks * marks).sum(1)[None, :] - 2 * x @ marks.T
+        return np.exp(-width * np.maximum(squares, 0))
+
+    own = kernel(marks) if len(marks) else np.zeros((0, 0))
+    mean = own.mean(0) if len(own) else np.zeros(0)
+    centred = own - mean[None, :] - mean[:, None] + (mean.mean() if len(mean) else 0)
+    values, axes = np.linalg.eigh(centred)
+    values, axes = values[::-1][:n_dims], axes[:, ::-1][:, :n_dims]
+    if len(axes):
+        axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])])[None, :]
+    scale = axes / np.sqrt(np.maximum(values, 1e-12))[None, :]
+
+    @F.pandas_udf("array<double>")
+    def project(s: pd.Series) -> pd.Series:
+        has = s.dropna()
+        k = kernel(np.array(has.tolist(), dtype=np.float64)) if len(has) else np.zeros((0, len(marks)))
+        out = (k - mean[None, :] - k.mean(1, keepdims=True) + mean.mean()) @ scale if len(has) else k
+        return pd.Series(list(out), index=has.index, dtype=object).reindex(s.index)
+
+    return project
+
+
 def cluster_centers(df: DataFrame, vector_col: str, n_clusters: int, seed: int = 42) -> DataFrame:
     """``(cluster, center)`` of the k-means of :func:`cluster`."""
     features = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("__features"))

@@ -471,7 +471,20 @@ def kmeans_assign(spark, folder):
 
 @_query()
 def density_assign(spark, folder):
-    return ve.cluster(_emb(spark, folder), "embedding", method="density", id_col="vec_id", threshold=0.35, min_cluster_size=3).select("vec_id", "__cluster")
+    return ve.cluster(_emb(spark, folder), "embedding", method="density", id_col="vec_id", min_cluster_size=5).select("vec_id", "__cluster")
+
+
+@_query(f"""WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM {_EMB} a JOIN {_EMB} b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) > 0.4),
+r AS (SELECT a AS n, a AS m FROM e UNION SELECT r.n, e.b FROM r JOIN e ON r.m = e.a), g AS (SELECT n, min(m) AS component FROM r GROUP BY n)
+SELECT vec_id, coalesce(CASE WHEN size >= 3 THEN component END, -1)::BIGINT AS cluster FROM embeddings LEFT JOIN (SELECT n, component, count(*) OVER (PARTITION BY component) AS size FROM g) ON n = vec_id""")
+def linkage_assign(spark, folder):
+    """Connected groups of at least three rows more alike than 0.4."""
+    return ve.cluster(_emb(spark, folder), "embedding", method="linkage", id_col="vec_id", threshold=0.4, min_cluster_size=3).select("vec_id", F.col("__cluster").alias("cluster"))
+
+
+@_query()
+def kernel_pca_embed(spark, folder):
+    return ve.reduce_dimensions(_emb(spark, folder), "embedding", 8, "kernel_pca").select("vec_id", "embedding_kernel_pca_8")
 
 
 @_query()
