@@ -57,8 +57,9 @@ class ClusterSettings:
     cell_rows: int = 3_000
     replicas: int = 3
     margin_ratio: float = 1.12
-    offers: int = 6  # cells around a vector whose clusters it is offered to
+    offers: int = 10  # cells around a vector whose clusters it is offered to
     most_points: int = 12_000
+    most_cells: int = 200_000  # bounds the broadcast centres (60 MB at 64 dimensions); cells beyond are larger and cut in their tasks
     sample_rows: int = 20_000
     sample_per_cell: int = 40
 
@@ -376,7 +377,7 @@ def _one_turn(
     points: DataFrame, left: int, turn: int, earlier: DataFrame | None, axes: np.ndarray, dim: int, s: ClusterSettings
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: h, cluster, similarity; points without a cluster; clusters) of one pass over the cells of ``points``."""
-    wanted = -(-left // s.cell_rows)
+    wanted = min(s.most_cells, -(-left // s.cell_rows))
     sample = _reduced(sample_vectors(points, max(s.sample_rows, s.sample_per_cell * wanted), left, dim, f"cells {turn}", "h"), axes)
     router = CellRouter(tree_kmeans(sample, wanted, seed=turn))
     cells = cut_lineage(_local_pass(points, axes, router, turn, dim, s))
