@@ -111,10 +111,10 @@ class SearchSettings:
     most_lists: int = 800_000
     replicas: int = 3
     replica_ratio: float = 1.12
-    probes: int = 7
-    probe_ratio: float = 1.3
-    beam: int = 16
-    steps: int = 10
+    probes: int = 10
+    probe_ratio: float = 1.35
+    beam: int = 20
+    steps: int = 12
 
 
 def _points(packed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
