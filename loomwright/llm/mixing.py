@@ -70,9 +70,10 @@ def temperature_weights(tokens: dict[str, float], entropy: float | None = None,
 def target_weights(tokens: dict[str, float], targets: dict[str, float], max_repeats: dict[str, int], total: float | None = None) -> tuple[dict[str, float], float]:
     """(weights, total tokens of the mix).
 
-    Without ``total`` the weights are the targets (of sources that have tokens)
-    and the total is the largest that the repetition limits allow.  With it, the
-    weights are ``shares**(1 - x) * targets**x`` with the largest x that fits.
+    The weights are ``shares**(1 - x) * targets**x``, made to sum to 1, with the
+    largest exponent x in [0, 1] that the repetition limits allow at the total.
+    Without ``total`` it is the largest at which x reaches 1, so that the weights
+    are the targets (of sources that have tokens); both are bisected.
     """
     names = sorted(s for s, t in targets.items() if t > 0 and tokens.get(s, 0) > 0)
     if not names:
@@ -81,16 +82,17 @@ def target_weights(tokens: dict[str, float], targets: dict[str, float], max_repe
     have = np.array([tokens[s] for s in names], dtype=float)
     most = have * np.array([max_repeats.get(s, 1) for s in names])
     want = want / want.sum()
-    if total is None:
-        return dict(zip(names, want.tolist())), float((most / want).min())
-    total = min(total, float(most.sum()))
 
     def weights(x: float) -> np.ndarray:
         w = (have / have.sum()) ** (1 - x) * want**x
         return w / w.sum()
 
-    x = _bisect(lambda x: bool((weights(x) * total <= most * (1 + 1e-9)).all()), 0.0, 1.0)
-    w = weights(x)
+    def fits(x: float, size: float) -> bool:
+        return bool((weights(x) * size <= most * (1 + 1e-9)).all())
+
+    whole = float(most.sum())
+    total = _bisect(lambda size: fits(1.0, size), 0.0, whole, rounds=100) if total is None else min(total, whole)
+    w = weights(_bisect(lambda x: fits(x, total), 0.0, 1.0))
     return dict(zip(names, w.tolist())), min(total, float((most / w).min()))
 
 
@@ -100,8 +102,8 @@ def source_tokens(counted: DataFrame) -> dict[str, float]:
 
 
 def _fill(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block in random order, each taken if it still fits."""
-    pdf = pdf.sort_values(["turn", "doc_id"], kind="stable")
+    """Documents of one block, the longest first, each taken if it still fits, so that short ones fill what is left."""
+    pdf = pdf.sort_values(["tokens", "turn", "doc_id"], ascending=[False, True, True], kind="stable")
     room = float(pdf["left"].iloc[0]) - float(pdf["before"].iloc[0])
     extra = []
     for tokens in pdf["tokens"].tolist():
@@ -117,8 +119,8 @@ def realise(counted: DataFrame, weights: dict[str, float], total: float, block_r
     A source with budget b and t tokens repeats all its documents floor(b / t)
     times.  The rest is taken from its documents in a random order that depends
     on the ids alone: whole blocks of about ``block_rows`` documents while they
-    fit, and of the next block each document that still fits.  A source thus
-    stays below its budget by less than a short document.  Documents of other
+    fit, and of the next block each document that still fits, the longest first.
+    A source thus stays below its budget by less than a short document.  Documents of other
     sources, and without tokens, have 0 repeats.
     """
     spark = counted.sparkSession

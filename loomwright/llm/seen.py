@@ -138,7 +138,7 @@ class SeenKeys:
     over twice as long as the next.
     """
 
-    def __init__(self, seal_keys: int = 1024, fingerprint_bits: int = 32, growth: float = 0.25) -> None:
+    def __init__(self, seal_keys: int = 256, fingerprint_bits: int = 32, growth: float = 0.25) -> None:
         self.seal_keys = seal_keys
         self.fingerprint_bits = fingerprint_bits
         self.growth = growth
@@ -304,7 +304,7 @@ def _advance(
 
 
 def seal_earlier(
-    earlier: DataFrame, key_col: str = "content", fingerprint_bits: int = 32, parts: int | None = None, seal_keys: int = 1024
+    earlier: DataFrame, key_col: str = "content", fingerprint_bits: int = 32, parts: int | None = None, seal_keys: int = 256
 ) -> SeenState:
     """The state that holds the keys of a table, all of them sealed; nulls are no keys.
 
@@ -321,7 +321,7 @@ def seal_earlier(
 
 
 def seen_in_batch(
-    arrivals: DataFrame, state: SeenState, key_col: str = "content", order_col: str = "arrival_no", seal_keys: int = 1024
+    arrivals: DataFrame, state: SeenState, key_col: str = "content", order_col: str = "arrival_no", seal_keys: int = 256
 ) -> tuple[DataFrame, SeenState]:
     """(``(order_col, seen)`` for every row of ``arrivals``, the state after them).
 
@@ -345,7 +345,7 @@ def seen_before(
     key_col: str = "content",
     order_col: str = "arrival_no",
     fingerprint_bits: int = 32,
-    seal_keys: int = 1024,
+    seal_keys: int = 256,
     parts: int | None = None,
 ) -> tuple[DataFrame, SeenState]:
     """:func:`seen_in_batch` for one batch after the keys of ``earlier``, which are sealed first."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomwright.llm.language import _WORD, LanguageModel, label_code
 from loomwright.llm.tokenizer import DEFAULT_FOLDER, DEFAULT_NAME, encoder
-from loomwright.plans.lineage import spread
+from loomwright.plans.lineage import cut_lineage, spread
 
 LEAST_MARGIN = 0.1
 
@@ -70,21 +70,21 @@ def token_budget(corpora: dict[str, DataFrame], domains: DataFrame, model: Langu
     for name, df in corpora.items():
         part = measured(df, model).withColumn("corpus", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
-    once = rows.groupBy("corpus", "id").agg(
+    # the exact counts of all texts, stored once
+    once = cut_lineage(rows.groupBy("corpus", "id").agg(
         F.min(F.struct("tokens", "found_language", "source", "label", "host", "recorded")).alias("x")
-    ).select("corpus", "x.*")
+    ).select("corpus", "id", "x.*"))
     code = label_code(F.col("label"))
     known = domains.where("site is not null").groupBy(F.lower("site").alias("host")).agg(F.min("topic_domain").alias("topic_domain"))
-    slices = (
-        once.join(known, "host", "left")
-        .withColumns({
+    # a row for each host of a slice meets the domains, so that a host with many texts is no hot key
+    by_host = (
+        once.withColumns({
             "language": F.coalesce("found_language", code, F.lit("unknown")),
             "source": F.coalesce("source", F.lit("unknown")),
-            "topic_domain": F.coalesce("topic_domain", F.lit("unknown")),
             "belied": (code != F.col("found_language")).cast("bigint"),
             "recorded": F.when(F.col("recorded") > 0, F.col("recorded").cast("bigint")),
         })
-        .groupBy("corpus", "source", "language", "topic_domain")
+        .groupBy("corpus", "source", "language", "host")
         .agg(
             F.count("*").alias("documents"),
             F.sum("tokens").alias("tokens"),
@@ -93,9 +93,11 @@ def token_budget(corpora: dict[str, DataFrame], domains: DataFrame, model: Langu
             F.coalesce(F.sum("belied"), F.lit(0)).alias("labels_belied"),
         )
     )
+    sums = ("documents", "tokens", "recorded_documents", "recorded_tokens", "labels_belied")
     dims = ["corpus", "source", "language", "topic_domain"]
+    slices = by_host.join(known, "host", "left").withColumn("topic_domain", F.coalesce("topic_domain", F.lit("unknown"))).groupBy(*dims).agg(*[F.sum(c).alias(c) for c in sums])
     cube = slices.cube(*dims).agg(
         *[F.grouping(d).alias(f"g_{d}") for d in dims],
-        *[F.sum(c).alias(c) for c in ("documents", "tokens", "recorded_documents", "recorded_tokens", "labels_belied")],
+        *[F.sum(c).alias(c) for c in sums],
     )
-    return cube.select(*[F.when(F.col(f"g_{d}") == 1, "*").otherwise(F.col(d)).alias(d) for d in dims], "documents", "tokens", "recorded_documents", "recorded_tokens", "labels_belied")
+    return cube.select(*[F.when(F.col(f"g_{d}") == 1, "*").otherwise(F.col(d)).alias(d) for d in dims], *sums)

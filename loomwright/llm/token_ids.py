@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomwright.llm.tokenizer import DEFAULT_FOLDER, DEFAULT_NAME, encoder
+from loomwright.llm.tokenizer import DEFAULT_FOLDER, DEFAULT_NAME, encoder, vocabulary
 from loomwright.plans.lineage import spread
 
 
@@ -70,3 +70,18 @@ def with_token_counts(
 
     narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
     return spread(narrow).mapInArrow(run, f"{fields}{', ' if fields else ''}`{count_col}` bigint")
+
+
+def decode_corpus(
+    df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", text_col: str = "text", tokenizer: str = DEFAULT_NAME, folder: str = DEFAULT_FOLDER
+) -> DataFrame:
+    """``(id, text)`` from the token ids of :func:`encode_corpus`; an empty list gives an empty text, null gives null."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = vocabulary(tokenizer, folder)
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(words.__getitem__, ids)).decode("utf-8", "surrogatepass") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, text_col])
+
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {id_type}, `{text_col}` string")

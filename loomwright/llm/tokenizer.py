@@ -23,3 +23,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 def encoder(name: str = DEFAULT_NAME, folder: str = DEFAULT_FOLDER) -> BytePairEncoder:
     """The encoder of ``<folder>/<name>.tiktoken``; one per worker process."""
     return BytePairEncoder(load_ranks(os.path.join(folder, f"{name}.tiktoken")), PATTERN)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(name: str = DEFAULT_NAME, folder: str = DEFAULT_FOLDER) -> dict[int, bytes]:
+    """The bytes of each token id; one per worker process."""
+    return {rank: token for token, rank in load_ranks(os.path.join(folder, f"{name}.tiktoken")).items()}
