@@ -294,30 +294,34 @@ def _stray(in_cells: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
 
 
 def _checked(members: DataFrame, dim: int, s: ClusterSettings) -> DataFrame:
-    """``(h, cluster, similarity, q, weight)``: the cluster of those whose vector is close to its direction, the vector of all others."""
+    """``(h, cluster, similarity, q, weight)``: the cluster of those whose vector is close to its direction.
+
+    The vector stays with all others, and with the members of clusters that may turn out to be too small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            q, d = batch.column(2), batch.column(3)
+            q, d, n = batch.column(2), batch.column(3), batch.column(5)
             has = np.asarray(d.is_valid())
             sims = np.full(len(q), -2.0)
             toward = np.frombuffer(b"".join(d.drop_null().to_pylist()), dtype=np.float32).reshape(-1, dim)
             sims[has] = (unpack(q.filter(pa.array(has)).to_pylist(), dim) * toward).sum(1)
             out = sims < s.member_cosine
+            doubtful = out | (n.fill_null(0).to_numpy(zero_copy_only=False) < 3 * s.least_members)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(batch.column(1).to_numpy(zero_copy_only=False), pa.int64(), mask=out, from_pandas=True),
                     pa.array(sims, pa.float64(), mask=out),
-                    pc.if_else(pa.array(out), q, pa.scalar(None, pa.binary())),
+                    pc.if_else(pa.array(doubtful), q, pa.scalar(None, pa.binary())),
                     batch.column(4),
                 ],
                 names=["h", "cluster", "similarity", "q", "weight"],
             )
 
-    return members.select("h", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "q", "direction", "weight").mapInArrow(
+    return members.select("h", F.coalesce("cluster", F.lit(-1)).alias("cluster"), "q", "direction", "weight", "n").mapInArrow(
         run, "h bigint, cluster bigint, similarity double, q binary, weight bigint"
     )
 
@@ -375,8 +379,8 @@ def _cells_of(directions: DataFrame, axes: np.ndarray, router: CellRouter, dim:
 
 def _one_turn(
     points: DataFrame, left: int, turn: int, earlier: DataFrame | None, axes: np.ndarray, dim: int, s: ClusterSettings
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members: h, cluster, similarity; points without a cluster; clusters) of one pass over the cells of ``points``."""
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, CellRouter]:
+    """(members: h, cluster, similarity; points without a cluster; clusters; members with their vectors of clusters that may be too small; cells) of one pass."""
     wanted = min(s.most_cells, -(-left // s.cell_rows))
     sample = _reduced(sample_vectors(points, max(s.sample_rows, s.sample_per_cell * wanted), left, dim, f"cells {turn}", "h"), axes)
     router = CellRouter(tree_kmeans(sample, wanted, seed=turn))
@@ -390,12 +394,20 @@ def _one_turn(
     in_cells = cut_lineage(in_cells)
     stray = cut_lineage(_stray(in_cells, dim, s))
     in_cells, directions = in_cells.join(stray, "cluster", "left_anti"), directions.join(stray, "cluster", "left_anti")
-    known = merged.join(directions, "cluster").select("local", "cluster", "direction")
+    known = merged.join(directions, "cluster").select("local", "cluster", "direction", "n")
     checked = cut_lineage(_checked(cells.where(F.col("kind") == _MEMBER).select("h", "local", "q", "weight").join(known, "local", "left"), dim, s))
-    others = cells.where(F.col("kind") == _OTHER).unionByName(checked.where("cluster is null"), allowMissingColumns=True).select("h", "q", "weight")
+    others = cells.where(F.col("kind") == _OTHER).unionByName(checked.where("cluster is null").select("h", "q", "weight"), allowMissingColumns=True).select("h", "q", "weight")
     around = cut_lineage(_offered(others, in_cells, axes, router, dim, s))
     members = checked.where("cluster is not null").select("h", "cluster", "similarity").unionByName(around)
-    return members, others.join(around.select("h"), "h", "left_anti"), directions
+    doubtful = checked.where("cluster is not null and q is not null").select("h", "cluster", "q", "weight")
+    doubtful = doubtful.unionByName(others.join(around.select("h", "cluster"), "h").select("h", "cluster", "q", "weight"))
+    return members, others.join(around.select("h"), "h", "left_anti"), directions, doubtful, router
+
+
+def _of_ids(ids: DataFrame, members: DataFrame) -> DataFrame:
+    """``(id, cluster, similarity)`` from members by vector; of several vectors of an id the nearer to its cluster counts."""
+    best = ids.join(members, "h").groupBy("id").agg(F.max(F.struct("similarity", "cluster")).alias("best"))
+    return best.select("id", "best.cluster", "best.similarity")
 
 
 def density_clusters(
@@ -418,14 +430,17 @@ def density_clusters(
         points = rows.groupBy("h").agg(F.min("q").alias("q"), F.count("*").alias("weight"))
         turn, left = 0, total
         while left >= s.least_members:
-            members, rest, directions = _one_turn(points, left, turn, clusters, axes, dim, s)
-            of_ids = ids.join(members, "h").groupBy("id").agg(F.max(F.struct("similarity", "cluster")).alias("best")).select("id", "best.cluster", "best.similarity")
-            found = cut_lineage(of_ids)
+            members, rest, directions, doubtful, router = _one_turn(points, left, turn, clusters, axes, dim, s)
+            found = cut_lineage(_of_ids(ids, members))
             # clusters of earlier turns may still gain members here
             large = found.groupBy("cluster").count().where(F.col("count") >= s.least_members).select("cluster")
             fresh = cut_lineage(directions.join(large, "cluster", "left_semi"))
             clusters = fresh if clusters is None else clusters.unionByName(fresh)
-            found = found.join(clusters.select("cluster"), "cluster", "left_semi").select("id", "cluster", "similarity")
+            # the members of clusters that are too small are offered to the others
+            left_over = cut_lineage(doubtful.join(clusters.select("cluster"), "cluster", "left_anti").drop("cluster"))
+            again = cut_lineage(_offered(left_over, _cells_of(clusters, axes, router, dim, s).select("cell", "cluster", "direction"), axes, router, dim, s))
+            rest = rest.unionByName(left_over.join(again.select("h"), "h", "left_anti"))
+            found = found.join(clusters.select("cluster"), "cluster", "left_semi").select("id", "cluster", "similarity").unionByName(_of_ids(ids, again))
             clustered = found if clustered is None else clustered.unionByName(found)
             if fresh.limit(1).count() == 0:
                 break
