@@ -105,7 +105,7 @@ class SearchSettings:
     """
 
     list_rows: int = 500
-    group_rows: int = 8_000
+    group_rows: int = 5_000
     sample_rows: int = 20_000
     sample_per_list: int = 10
     most_lists: int = 800_000
