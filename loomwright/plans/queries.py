@@ -233,7 +233,16 @@ def labels_and_truncation(spark, folder):
     return _docs(spark, folder).select("doc_id", tx.canonical_label(F.col("source")).alias("label"), tx.truncated(F.col("text")).alias("shown"))
 
 
-@_query()
+_LM_ONE = {a: b for a, b in tx.LM_PUNCTUATION.items() if len(b) == 1}
+_LM_SQL = "regexp_replace(strip_accents(lower(" + _STRIPPED.format("text") + ")), '\\p{Nd}', '0', 'g')"
+_LM_FROM, _LM_TO = ("".join(x).replace("'", "''") for x in (_LM_ONE, _LM_ONE.values()))
+_LM_SQL = f"translate({_LM_SQL}, '{_LM_FROM}', '{_LM_TO}')"
+for _mark, _plain in tx.LM_PUNCTUATION.items():
+    if len(_plain) > 1:
+        _LM_SQL = f"replace({_LM_SQL}, '{_mark}', '{_plain}')"
+
+
+@_query(f"SELECT doc_id, regexp_replace({_LM_SQL}, '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g') AS text FROM documents")
 def language_model_text(spark, folder):
     return spread(_docs(spark, folder).select("doc_id", "text")).select("doc_id", tx.language_model_text(F.col("text")).alias("text"))
 
@@ -505,6 +514,14 @@ def minhash_signatures(spark, folder):
     return dedup.compute_minhashes(spread(_docs(spark, folder).select("doc_id", "text")), "text", num_perm=16).select("doc_id", "__minhash__text")
 
 
+@_query("SELECT doc_id, true AS same FROM documents")
+def minhash_of_copies(spark, folder):
+    """Whether each text has the signature of the first text that equals it."""
+    signed = cut_lineage(dedup.compute_minhashes(spread(_docs(spark, folder).select("doc_id", "text")), "text", num_perm=16).withColumnRenamed("__minhash__text", "m"))
+    first = signed.groupBy("text").agg(F.min_by("m", "doc_id").alias("of_first"))
+    return signed.join(first, signed["text"].eqNullSafe(first["text"])).select("doc_id", F.col("m").eqNullSafe(F.col("of_first")).alias("same"))
+
+
 @_query()
 def minhash_pairs(spark, folder):
     return dedup.minhash_pairs(spread(_docs(spark, folder).select("doc_id", "text")), "doc_id", "text", 0.8)

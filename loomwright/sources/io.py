@@ -62,8 +62,40 @@ def ingest(df: DataFrame, order_col: str, filters: Sequence[Column] = (), dedup_
     return df if max_samples is None else df.orderBy(order_col).limit(max_samples)
 
 
-def fetched(df: DataFrame, url_col: str, output: str, fetch: Callable[[str], str | None]) -> DataFrame:
-    """``output``: what ``fetch`` returns for each url, null if it fails or returns nothing."""
+def http_get(timeout: float = 5.0) -> Callable[[str], str | None]:
+    """For :func:`fetched`: the text of a page by a plain GET; None for any status but 200."""
+
+    def get(url: str) -> str | None:
+        import urllib.request
+
+        with urllib.request.urlopen(url, timeout=timeout) as reply:
+            return reply.read().decode(reply.headers.get_content_charset() or "utf-8", "replace") if reply.status == 200 else None
+
+    return get
+
+
+def http_head(timeout: float = 5.0) -> Callable[[str], tuple[int, str | None]]:
+    """For :func:`redirected`: status and location of a HEAD request, not followed."""
+
+    def head(url: str) -> tuple[int, str | None]:
+        import http.client
+        import urllib.parse
+
+        parts = urllib.parse.urlsplit(url)
+        kind = http.client.HTTPSConnection if parts.scheme == "https" else http.client.HTTPConnection
+        connection = kind(parts.netloc, timeout=timeout)
+        try:
+            connection.request("HEAD", (parts.path or "/") + (f"?{parts.query}" if parts.query else ""))
+            reply = connection.getresponse()
+            return reply.status, reply.headers.get("Location")
+        finally:
+            connection.close()
+
+    return head
+
+
+def fetched(df: DataFrame, url_col: str, output: str, fetch: Callable[[str], str | None], failed: str | None = None) -> DataFrame:
+    """``output``: what ``fetch`` returns for each url; ``failed`` if it raises or returns nothing, null for a null url."""
     schema = df.withColumn(output, F.lit(None).cast("string")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -71,9 +103,10 @@ def fetched(df: DataFrame, url_col: str, output: str, fetch: Callable[[str], str
             out = []
             for url in batch[url_col]:
                 try:
-                    out.append(fetch(url) if isinstance(url, str) else None)
+                    text = fetch(url) if isinstance(url, str) else None
                 except Exception:
-                    out.append(None)
+                    text = None
+                out.append(failed if text is None and isinstance(url, str) else text)
             yield batch.assign(**{output: out})
 
     return df.mapInPandas(run, schema)

@@ -170,6 +170,34 @@ def test_pages_links_and_hubs(spark):
         io.from_hub(spark, "set", load=lambda p, s: iter(()))
 
 
+def test_pages_from_a_local_server(spark):
+    import http.server
+    import threading
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response({"/a": 200, "/moved": 308}.get(self.path, 404))
+            if self.path == "/moved":
+                self.send_header("Location", "/a")
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write("<p>né</p>".encode())
+
+        do_HEAD = do_GET
+        log_message = lambda *a: None
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        df = spark.createDataFrame([(f"{base}/a",), (f"{base}/none",), (None,)], "u string")
+        assert {r.u: r.t for r in io.fetched(df, "u", "t", io.http_get(), "Failed to scrape").collect()} == {f"{base}/a": "<p>né</p>", f"{base}/none": "Failed to scrape", None: None}
+        df = spark.createDataFrame([(f"{base}/a",), (f"{base}/moved",), (f"{base}/none",)], "u string")
+        assert {r.u.rsplit("/")[-1]: r.t for r in io.redirected(df, "u", "t", io.http_head()).collect()} == {"a": f"{base}/a", "moved": "/a", "none": None}
+    finally:
+        server.shutdown()
+
+
 def test_extracted_files(spark, tmp_path):
     (tmp_path / "f").mkdir()
     (tmp_path / "f" / "a.bin").write_bytes(b"hy-\nphen")
