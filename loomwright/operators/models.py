@@ -118,14 +118,15 @@ def words_of(text):
 def unigram_perplexity(df: DataFrame, id_col: str, field: str) -> DataFrame:
     """``(id, words, perplexity)``: 10 ** (-mean log10 p) under add-one word frequencies of the whole table.
 
-    Words are counted map-side before any shuffle, per text and then over all.
-    Texts without words have null.
+    Words are counted map-side before they are shuffled.  The table of words is
+    written once: where it is small it goes to the texts by its true size, and
+    these are not shuffled.  Texts without words have null.
     """
-    each = df.select(F.col(id_col), F.explode(words_of(F.col(field))).alias("word")).groupBy(id_col, "word").agg(F.count("*").alias("n"))
-    total = each.groupBy("word").agg(F.sum("n").alias("f"))
+    words = df.select(F.col(id_col), F.explode(words_of(F.col(field))).alias("word"))
+    total = words.groupBy("word").agg(F.count("*").alias("f"))
     size = total.agg(F.sum("f").alias("all"), F.count("*").alias("kinds"))
     logs = total.crossJoin(F.broadcast(size)).select("word", F.log10((F.col("f") + 1) / (F.col("all") + F.col("kinds"))).alias("lp"))  # one row on the right
-    scored = each.join(logs, "word").groupBy(id_col).agg(F.sum("n").alias("words"), F.sum(F.col("n") * F.col("lp")).alias("s"))
+    scored = words.join(cut_lineage(logs), "word").groupBy(id_col).agg(F.count("*").alias("words"), F.sum("lp").alias("s"))
     return df.select(id_col).join(scored, id_col, "left").select(id_col, F.coalesce("words", F.lit(0)).alias("words"), F.round(F.pow(F.lit(10.0), -F.col("s") / F.col("words")), 1).alias("perplexity"))
 
 
