@@ -3,9 +3,13 @@
 Balanced posting lists.  A sample gives centroids of about
 ``list_rows`` vectors each; lists that would be large are halved.  A vector is
 stored in the list of its nearest centroid and, when it lies near a border, in
-up to ``replicas`` lists whose centroids are nearly as close.  A query finds its
-lists by a best-first walk over an in-memory neighbour graph of the centroids
-and keeps those within a ratio of the best distance.  Queries and lists meet in
+up to ``replicas`` lists whose centroids are nearly as close.  A query compares
+all centroids and keeps those within a ratio of the best distance: a walk over
+a graph of the centroids misses the nearest one more and more often as lists
+grow in number, and with it true neighbours.  The lists therefore grow in
+number only with the root of the vectors once comparing centroids costs more
+than reading lists; only beyond ``direct`` centroids does a best-first walk over
+their neighbour graph go on from the best of as many.  Queries and lists meet in
 groups of neighbouring lists, so a vector travels once to each group and not
 once to each list.
 
@@ -25,27 +29,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwright.llm.vectors import CellRouter, packed_vectors, sample_vectors, tree_kmeans, unpack
+from loomwright.llm.vectors import CellRouter, most_alike, packed_vectors, sample_vectors, tree_kmeans, unpack
 from loomwright.plans.lineage import cut_lineage
 
 
 class CentroidGraph:
     """Centroids, the neighbour graph over them, and groups of neighbouring centroids."""
 
-    def __init__(self, centres: np.ndarray, groups: int, degree: int = 16) -> None:
+    def __init__(self, centres: np.ndarray, groups: int, degree: int = 16, direct: int = 65_536) -> None:
         k = len(centres)
         self.centres = centres
+        self.entries = np.arange(0, k, -(-k // direct), dtype=np.int32)
+        walked = k if len(self.entries) < k else 0  # where every centroid is an entry nothing is left to walk to
         degree = min(degree, max(k - 1, 1))
-        self.edges = np.zeros((k, degree), dtype=np.int32)
-        router = CellRouter(centres, direct=4_096)
-        for i in range(0, k if k > 1 else 0, 2048):
+        self.edges = np.zeros((walked, degree), dtype=np.int32)
+        router = CellRouter(centres, direct=4_096) if walked else None
+        for i in range(0, walked, 2048):
             near, _ = router.top(centres[i : i + 2048], degree + 1)
             own = near == np.arange(i, i + len(near))[:, None]
             own[~own.any(1), -1] = True  # drop the centroid itself or else the last one
             near = near[~own].reshape(len(near), -1)
             self.edges[i : i + 2048] = np.where(near < 0, 0, near)[:, :degree]
-        step = max(1, int(np.sqrt(k)))
-        self.entries = np.arange(0, k, step, dtype=np.int32)
         self.group = np.zeros(k, dtype=np.int32)
         self._bisect(np.arange(k), max(1, groups), 0)
 
@@ -63,18 +67,20 @@ class CentroidGraph:
         self._bisect(order[cut:], groups - left, first + left)
 
     def search(self, queries: np.ndarray, beam: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, similarities), best first: a best-first walk for all queries at once."""
+        """(centroids, similarities), best first: the best entries, and a best-first walk from them where other centroids exist."""
         k = len(self.centres)
         beam = min(beam, k)
         rows = np.arange(len(queries))[:, None]
-        s = queries @ self.centres[self.entries].T
-        take = min(beam, s.shape[1])
-        at = np.argpartition(-s, take - 1, axis=1)[:, :take]
+        starts = self.centres[self.entries].T
+        take = min(beam, starts.shape[1])
         ids = np.full((len(queries), beam), -1, dtype=np.int32)
         sims = np.full((len(queries), beam), -2, dtype=np.float32)
-        ids[:, :take], sims[:, :take] = self.entries[at], s[rows, at]
+        part = max(32, (1 << 22) // starts.shape[1])  # 16 MB of similarities at once
+        for i in range(0, len(queries), part):
+            at, sims[i : i + part, :take] = most_alike(queries[i : i + part] @ starts, take)
+            ids[i : i + part, :take] = self.entries[at]
         done = np.zeros(ids.shape, dtype=bool)
-        for _ in range(steps):
+        for _ in range(steps if len(self.edges) else 0):
             waiting = np.where(done | (ids < 0), -3, sims)
             pick = waiting.argmax(1)
             live = waiting[rows[:, 0], pick] > -3
@@ -96,23 +102,27 @@ class CentroidGraph:
 
 @dataclass(frozen=True)
 class SearchSettings:
-    """How much work a search does; the defaults reach a recall of over 0.9 on clustered 64-d data.
-
-    The centroids are fitted on a sample of ``sample_rows`` vectors or
-    ``sample_per_list`` a list, whichever is more.  ``most_lists`` bounds the
-    graph that is broadcast (330 bytes a list at 64 dimensions, 270 MB): beyond
-    400 million vectors the lists grow instead, and no vector is left out.
+    """How much work a search does.
+
+    A list holds about ``list_rows`` vectors, or more where that would make over
+    ``lists_per_root`` times the root of the number of vectors: a vector is
+    compared with all centroids, and with all vectors of the lists it asks, so
+    the work of both grows with that root.  The centroids are fitted on a sample
+    of ``sample_rows`` vectors or ``sample_per_list`` a list, whichever is more.
+    ``most_lists`` bounds the graph that is broadcast (330 bytes a list at 64
+    dimensions, 270 MB); no vector is left out.
     """
 
     list_rows: int = 500
+    lists_per_root: float = 4.0
     group_rows: int = 5_000
     sample_rows: int = 20_000
     sample_per_list: int = 10
     most_lists: int = 800_000
     replicas: int = 3
     replica_ratio: float = 1.12
-    probes: int = 10
-    probe_ratio: float = 1.35
+    probes: int = 14
+    probe_ratio: float = 1.45
     beam: int = 20
     steps: int = 12
 
@@ -144,9 +154,9 @@ def most_similar(
     if total == 0:
         return df.sparkSession.createDataFrame([], "id bigint, neighbour bigint, similarity double, rank int")
     s = settings
-    lists = max(1, min(s.most_lists, -(-total // s.list_rows)))
+    lists = max(1, min(s.most_lists, -(-total // s.list_rows), int(s.lists_per_root * np.sqrt(total))))
     sample = sample_vectors(packed, max(s.sample_rows, s.sample_per_list * lists), total, dim, "lists")
-    graph = CentroidGraph(tree_kmeans(sample, lists), groups=-(-total // s.group_rows))
+    graph = CentroidGraph(tree_kmeans(sample, lists), groups=-(-lists * s.list_rows // s.group_rows))  # as many lists a group, however long they are
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(graph)  # bounded by most_lists
 
@@ -199,11 +209,10 @@ def most_similar(
                 some = queries[i : i + 2048]
                 sims = x[some] @ x[members].T
                 sims[some[:, None] == members[None, :]] = -2
-                take = min(k, len(members))
-                at = np.argpartition(-sims, take - 1, axis=1)[:, :take] if take < len(members) else np.tile(np.arange(take), (len(some), 1))
-                found_q.append(np.repeat(some, take))
+                at, best = most_alike(sims, k)
+                found_q.append(np.repeat(some, at.shape[1]))
                 found_m.append(members[at].ravel())
-                found_s.append(np.take_along_axis(sims, at, 1).ravel())
+                found_s.append(best.ravel())
         if not found_q:
             return pd.DataFrame({"own": pd.Series([], dtype=object), "near": pd.Series([], dtype=object)})
         q, m, sim = map(np.concatenate, (found_q, found_m, found_s))

@@ -73,6 +73,29 @@ def sample_vectors(packed: DataFrame, rows: int, total: int, dim: int, what: str
     return unpack(drawn.column("q").to_pylist(), dim) if drawn.num_rows else np.zeros((0, dim), dtype=np.float32)
 
 
+def most_alike(sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of the ``most`` largest values of each row, in no order.
+
+    The largest values lie in the blocks with the largest maxima, so only those
+    are partitioned and not whole rows.
+    """
+    n, m = sims.shape
+    most = min(most, m)
+    width = int(np.sqrt(m / most)) if most else 0
+    if width < 2:
+        at = np.argpartition(sims, m - most, axis=1)[:, m - most :] if 0 < most < m else np.tile(np.arange(most), (n, 1))
+        return at, np.take_along_axis(sims, at, 1)
+    blocks = m // width
+    maxima = sims[:, : width * blocks].reshape(n, width, blocks).max(1)
+    best = np.argpartition(maxima, blocks - most, axis=1)[:, blocks - most :]
+    inside = (best[:, None, :] + blocks * np.arange(width)[None, :, None]).reshape(n, -1)
+    tail = np.broadcast_to(np.arange(width * blocks, m), (n, m - width * blocks))
+    columns = np.concatenate([inside, tail], axis=1)
+    values = np.take_along_axis(sims, columns, 1)
+    at = np.argpartition(values, values.shape[1] - most, axis=1)[:, -most:]
+    return np.take_along_axis(columns, at, 1), np.take_along_axis(values, at, 1)
+
+
 def _means(x: np.ndarray, near: np.ndarray, k: int, old: np.ndarray) -> np.ndarray:
     order = np.argsort(near, kind="stable")
     counts = np.bincount(near, minlength=k)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomwright.llm import clusters
 from loomwright.llm.clusters import ClusterSettings, density_clusters, describe_clusters
 from loomwright.llm.neighbours import CentroidGraph, SearchSettings, most_similar, recall_of, similar_pairs
-from loomwright.llm.vectors import CellRouter, spherical_kmeans, tree_kmeans
+from loomwright.llm.vectors import CellRouter, most_alike, spherical_kmeans, tree_kmeans
 
 DIM = 16
 
@@ -71,6 +71,27 @@ def test_graph_search_finds_the_nearest_centroids():
     assert (np.diff(sims, axis=1) <= 1e-6).all()
 
 
+def test_graph_search_misses_no_nearest_centroid_among_many():
+    rng = np.random.default_rng(4)
+    centres = _unit(rng.normal(size=(6000, 64))).astype(np.float32)  # as far apart as clusters are
+    queries = _unit(centres[:300] + 0.08 * rng.normal(size=(300, 64))).astype(np.float32)
+    ids, sims = CentroidGraph(centres, 8).search(queries, SearchSettings.beam, SearchSettings.steps)
+    exact = np.argsort(-(queries @ centres.T), axis=1)[:, : SearchSettings.probes]
+    assert (ids[:, 0] == np.arange(300)).all()
+    assert (np.sort(ids[:, : SearchSettings.probes], axis=1) == np.sort(exact, axis=1)).mean() > 0.999
+    # beyond ``direct`` centroids a walk goes on from the entries and gives no centroid twice
+    ids, _ = CentroidGraph(centres, 8, direct=3000).search(queries, 20, 40)
+    assert all(len(set(r)) == 20 for r in ids.tolist()) and (ids[:, 0] == np.arange(300)).mean() > 0.6
+
+
+def test_most_alike_is_exact():
+    rng = np.random.default_rng(6)
+    for m, most in ((1, 5), (3, 5), (5, 5), (19, 5), (20, 5), (21, 5), (803, 5), (4097, 20)):
+        sims = rng.normal(size=(7, m)).astype(np.float32)
+        at, values = most_alike(sims, most)
+        assert (np.sort(values, axis=1) == np.sort(sims, axis=1)[:, -most:]).all() and (np.take_along_axis(sims, at, 1) == values).all()
+
+
 def test_kmeans_balances():
     rng = np.random.default_rng(1)
     x = _unit(np.vstack([np.eye(DIM)[0] + 0.05 * rng.normal(size=(900, DIM)), rng.normal(size=(100, DIM))])).astype(np.float32)
