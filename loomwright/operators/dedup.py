@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -47,18 +48,26 @@ def _shingle_set(text: str | None, k: int) -> np.ndarray:
         for i in range(k):
             h = h * _MASK + points[i : len(points) - k + 1 + i]
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ (h >> np.uint64(29)))
+    h = np.sort(h ^ (h >> np.uint64(29)))
+    return h[np.r_[True, h[1:] != h[:-1]]]  # np.unique by hashing takes four times as long
+
+
+@cache
+def _permutations(num_perm: int) -> tuple[np.ndarray, np.ndarray]:
+    factor, offset = np.random.default_rng(1).integers(1, 2**62, (2, num_perm)).astype(np.uint64)
+    return factor[:, None] | np.uint64(1), offset[:, None]
 
 
 def _least(h: np.ndarray, num_perm: int) -> np.ndarray:
     """The least of the hashes under each of ``num_perm`` fixed permutations."""
-    rng = np.random.default_rng(1)
-    factor, offset = rng.integers(1, 2**62, (2, num_perm)).astype(np.uint64)
+    factor, offset = _permutations(num_perm)
     out = np.full(num_perm, np.uint64(2**64 - 1))
     with np.errstate(over="ignore"):
-        for i in range(0, len(h), 8192):
-            mixed = h[None, i : i + 8192] * (factor[:, None] | np.uint64(1)) + offset[:, None]
-            out = np.minimum(out, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+        for i in range(0, len(h), 512):  # small enough for the caches of a core
+            mixed = h[None, i : i + 512] * factor
+            mixed += offset
+            mixed ^= mixed >> np.uint64(32)
+            np.minimum(out, mixed.min(axis=1), out=out)
     return out
 
 
@@ -87,23 +96,126 @@ def compute_minhashes(df: DataFrame, field: str, k: int = 9, num_perm: int = 128
     return df.withColumn(f"__minhash__{field}", minhash(F.col(f"`{field}`").cast("string"), k, num_perm))
 
 
-def minhash_pairs(df: DataFrame, id_col: str, field: str, threshold: float = 0.8, k: int = 9, bands: int = 16, rows: int = 4) -> DataFrame:
+def _parities(h: np.ndarray) -> bytes:
+    """A bit for each of as many bins as there are hashes, about: whether the bin holds an odd number of them."""
+    bins = max(64, 1 << int(np.ceil(np.log2(max(0.7 * len(h), 1)))))
+    counts = np.bincount((h & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _close(keys: np.ndarray, sizes: np.ndarray, sketches: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the pairs with an equal key that may be ``threshold`` alike.
+
+    Left out are only pairs that cannot be: the smaller set is too small, or
+    more bins differ in parity than the sets may differ in members.
+    """
+    order = np.lexsort((sizes, keys))
+    key, size = keys[order], sizes[order].astype(np.float64)
+    words = np.array([len(s) // 8 for s in sketches])[order]
+    matrix = {w: np.frombuffer(b"".join(sketches[i] for i in order[words == w]), dtype=np.uint64).reshape(-1, w) for w in np.unique(words).tolist()}
+    place = np.zeros(len(order), dtype=np.int64)
+    for w in matrix:
+        place[words == w] = np.arange(len(matrix[w]))
+    folded = {(w, w): m for w, m in matrix.items()}
+    most = (1 - threshold) / (1 + threshold)
+    left, right = [], []
+    live, step = np.arange(len(order) - 1), 1
+    while len(live):
+        other = live + step
+        ok = (key[live] == key[other]) & (size[live] >= threshold * size[other])  # sizes ascend, so a row that fails is done
+        live = live[ok]
+        pairs = words[live] << 32 | words[live + step]
+        for both in np.unique(pairs).tolist():
+            w, v = both >> 32, both & 0xFFFFFFFF
+            if (v, w) not in folded:
+                folded[v, w] = np.bitwise_xor.reduce(matrix[v].reshape(-1, v // w, w), axis=1)
+            some = live[pairs == both]
+            for i in range(0, len(some), max(1, (1 << 20) // w)):
+                x = some[i : i + max(1, (1 << 20) // w)]
+                y = x + step
+                odd = np.bitwise_count(matrix[w][place[x]] ^ folded[v, w][place[y]]).sum(axis=1, dtype=np.int64)
+                near = odd <= most * (size[x] + size[y]) + 1e-6
+                left.append(x[near])
+                right.append(y[near])
+        step += 1
+        live = live[live + step < len(order)]
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def minhash_pairs(
+    df: DataFrame, id_col: str, field: str, threshold: float = 0.8, k: int = 9, bands: int = 16, rows: int = 4, bucket_rows: int = 20_000, most_marks: int = 4_000_000
+) -> DataFrame:
     """``(a, b, jaccard)``: pairs that share a band and whose shingle sets are at least ``threshold`` alike.
 
     Of equal texts the one with the least id stands for all, so copies do not
-    multiply; the similarity is exact.
+    multiply; the similarity is exact.  Neither texts nor shingle sets travel to
+    find pairs: texts that share a band meet with the sizes of their sets and the
+    parities of hash bins, which bound the similarity from above, and a pair is
+    written only if that bound allows it.  Then the texts of such pairs alone are
+    fetched; marks of up to ``most_marks`` of their ids keep others from the join.
     """
     text = F.col(f"`{field}`").cast("string")
-    one = cut_lineage(df.where(text.isNotNull()).groupBy(text.alias("t")).agg(F.min(id_col).alias("id")))
-    signed = one.select("id", minhash(F.col("t"), k, bands * rows).alias("m")).where(F.col("m")[0] != -1)
+    id_type = df.select(F.col(f"`{id_col}`")).schema[0].dataType.simpleString()
+    named = df.where(text.isNotNull() & F.col(f"`{id_col}`").isNotNull()).select(
+        F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2"), text.alias("t")
+    )
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [_shingle_set(t, k) for t in batch["t"]]
+            keep = np.array([len(h) > 0 for h in sets], dtype=bool)
+            sets = [h for h in sets if len(h)]
+            out = batch.loc[keep, ["id", "h1", "h2"]].copy()
+            out["n"] = [len(h) for h in sets]
+            out["m"] = [_least(h, bands * rows).view(np.int64) for h in sets]
+            out["sketch"] = [_parities(h) for h in sets]
+            yield out
+
+    signed = named.mapInPandas(sign, f"id {id_type}, h1 bigint, h2 bigint, n int, m array<bigint>, sketch binary")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.slice("m", b * rows + 1, rows)))
-    banded = signed.select("id", F.explode(keys).alias("key"))
-    pairs = banded.select("key", F.col("id").alias("a")).join(banded.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b").distinct()
-    sets = one.select("id", shingle_hashes(F.col("t"), k).alias("s"))
-    full = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    jaccard = common / (F.size("sa") + F.size("sb") - common)
-    return full.select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    one = signed.select("h1", "h2", "id", F.struct("id", "n", keys.alias("keys"), "sketch").alias("x")).groupBy("h1", "h2").agg(F.min_by("x", "id").alias("x"))
+    one = cut_lineage(one.select("h1", "h2", "x.*"))
+    in_band = Window.partitionBy("key").orderBy("id")
+    banded = one.select("id", F.explode("keys").alias("key"))
+    shared = cut_lineage(
+        banded.withColumns({"before": F.lag("id").over(in_band), "after": F.lead("id").over(in_band)}).where("before is not null or after is not null").select("key", "id")
+    )
+    buckets = max(1, -(-shared.count() // bucket_rows))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = _close(pdf["key"].to_numpy(), pdf["n"].to_numpy(), pdf["sketch"].tolist(), max(threshold - 1e-6, 0.0))
+        ids = pdf["id"].to_numpy()
+        a, b = ids[x], ids[y]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a)}).drop_duplicates()
+
+    met = shared.join(one.select("id", "n", "sketch"), "id").withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    pairs = cut_lineage(met.groupBy("bucket").applyInPandas(meet, f"a {id_type}, b {id_type}").distinct().where("a < b"))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    wanted = cut_lineage(one.select("id", "h1", "h2").join(ids, "id"))
+    if wanted.count() <= most_marks:
+        marks = df.sparkSession.sparkContext.broadcast(np.unique(wanted.select("h1").toPandas()["h1"].to_numpy(dtype=np.int64)))
+
+        @F.pandas_udf("boolean")
+        def marked(h: pd.Series) -> pd.Series:
+            m = marks.value
+            return pd.Series(m[np.minimum(np.searchsorted(m, h.to_numpy()), len(m) - 1)] == h.to_numpy()) if len(m) else pd.Series(np.zeros(len(h), bool))
+
+        named = named.where(marked("h1"))
+    texts = cut_lineage(named.join(wanted, ["id", "h1", "h2"]).groupBy("id", "h1", "h2").agg(F.first("t").alias("t")).select("id", "t"))
+    full = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+    @F.pandas_udf("double")
+    def jaccard(ta: pd.Series, tb: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(ta, tb):
+            sx, sy = _shingle_set(x, k), _shingle_set(y, k)
+            common = len(np.intersect1d(sx, sy, assume_unique=True))
+            out.append(common / (len(sx) + len(sy) - common))
+        return pd.Series(out, dtype=float)
+
+    return full.select("a", "b", F.round(jaccard("ta", "tb"), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 import pytest
 from hypothesis import given, settings
@@ -82,6 +83,34 @@ def test_exact_dedup_and_minhash(spark):
     assert signatures[1] == signatures[5] and signatures[4] is None and set(signatures[3]) == {-1}
 
 
+def test_minhash_pairs_that_share_a_band_are_written_only_if_they_can_be_alike(spark):
+    rng = np.random.default_rng(3)
+    draw = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    head, rows = draw(260), []
+    for i in range(60):  # half a text in common: they share bands, and none is a pair
+        rows.append((f"u{i:03}", head + draw(240)))
+    for i in range(12):
+        base = draw(150 * (1 + i))
+        rows += [(f"v{i:03}", base), (f"w{i:03}", base[:-9] + draw(9)), (f"x{i:03}", base), (f"y{i:03}", base[: len(base) * 3 // 4])]
+    rows += [(None, head), ("z", None), ("z1", ""), ("v000", rows[60][1])]
+    sets = {i: set(dedup._shingle_set(t, 9).tolist()) for i, t in rows if i and t and not i.startswith("x")}
+    like = lambda a, b: len(a & b) / len(a | b)
+    want = {(a, b): round(like(sets[a], sets[b]), 6) for a in sets for b in sets if a < b and round(like(sets[a], sets[b]), 6) >= 0.8}
+    df = spark.createDataFrame(rows, "id string, t string")
+    for more in ({}, {"bucket_rows": 10, "most_marks": 0}):
+        got = dedup.minhash_pairs(df, "id", "t", 0.8, **more).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.jaccard for r in got} == want
+    names = sorted(sets)
+    hashes = [np.array(sorted(sets[i]), dtype=np.uint64) for i in names]
+    for threshold in (0.8, 0.5, 0.1):
+        x, y = dedup._close(np.zeros(len(names), np.int64), np.array([len(h) for h in hashes]), [dedup._parities(h) for h in hashes], threshold)
+        met = {tuple(sorted((names[i], names[j]))) for i, j in zip(x.tolist(), y.tolist())}
+        alike = {(a, b) for a in names for b in names if a < b and like(sets[a], sets[b]) >= threshold}
+        assert alike <= met and len(met) == len(x)
+        if threshold == 0.8:
+            assert len(met) < 100  # of 3,486
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 14), st.integers(0, 14)), max_size=25))
 def test_components(spark, edges):
